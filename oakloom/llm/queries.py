@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakloom.llm.leaks import leaked_items
+from oakloom.llm.neardups import near_duplicates, pairs_in_groups
 from oakloom.llm.splitting import split_responses
 from oakloom.llm.storage import table
 from oakloom.llm.variants import format_variants
@@ -18,6 +19,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("sample_id <> first_id").select("first_id", "sample_id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs_in_groups(near_duplicates(table(spark, folder, "sft_samples")))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "sft_samples")).select("sample_id", "group_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     cut = split_responses(table(spark, folder, "sft_samples"), table(spark, folder, "data_configs"), with_text=False)
     return cut.where("piece_no = 1").select("sample_id")
@@ -32,7 +41,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
