@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 from oakloom.llm.leaks import leaked_items
 from oakloom.llm.neardups import near_duplicates, pairs_in_groups
+from oakloom.llm.overlap import cross_split_overlaps, overlap_report
 from oakloom.llm.splitting import split_responses
 from oakloom.llm.storage import table
 from oakloom.llm.variants import format_variants
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = cross_split_overlaps(table(spark, folder, "corpus_lines"), table(spark, folder, "data_configs"))
+    ids = F.least("train_id", "eval_id").alias("line_id_a"), F.greatest("train_id", "eval_id").alias("line_id_b")
+    return found.select(*ids).distinct()
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_report(cross_split_overlaps(table(spark, folder, "corpus_lines"), table(spark, folder, "data_configs")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     found = format_variants(table(spark, folder, "sft_samples"), table(spark, folder, "sft_raw"))
     return found.where("sample_id <> first_id").select("first_id", "sample_id")
@@ -41,7 +52,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
