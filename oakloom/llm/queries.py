@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from oakloom.llm.leaks import leaked_items
 from oakloom.llm.neardups import near_duplicates, pairs_in_groups
 from oakloom.llm.overlap import cross_split_overlaps, overlap_report
+from oakloom.llm.packing import pack_documents, packing_report
 from oakloom.llm.splitting import split_responses
 from oakloom.llm.storage import table
 from oakloom.llm.variants import format_variants
@@ -47,12 +48,26 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_responses(table(spark, folder, "sft_samples"), table(spark, folder, "data_configs"))
 
 
+def _capacity(spark: SparkSession, folder: str) -> int:
+    """The max_length of the config whose training data are many files."""
+    return table(spark, folder, "data_configs").where("name = 'pretrain_multi'").first().max_length
+
+
+def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), _capacity(spark, folder))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    capacity = _capacity(spark, folder)
+    return packing_report(pack_documents(table(spark, folder, "documents"), capacity), capacity)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_sequences": p6_sequences, "p6_report": p6_report, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
