@@ -11,6 +11,7 @@ from oakloom.llm.leaks import leaked_items
 from oakloom.llm.neardups import near_duplicates, pairs_in_groups
 from oakloom.llm.overlap import cross_split_overlaps, overlap_report
 from oakloom.llm.packing import pack_documents, packing_report
+from oakloom.llm.quality import not_prose, text_quality
 from oakloom.llm.splitting import split_responses
 from oakloom.llm.storage import table
 from oakloom.llm.variants import format_variants
@@ -66,8 +67,16 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return not_prose(p8_statistics(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_sequences": p6_sequences, "p6_report": p6_report, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_sequences": p6_sequences, "p6_report": p6_report, "p7_found": p7_found, "p8_statistics": p8_statistics, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
