@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oakloom.llm.defects import response_defects
 from oakloom.llm.leaks import leaked_items
 from oakloom.llm.neardups import near_duplicates, pairs_in_groups
 from oakloom.llm.overlap import cross_split_overlaps, overlap_report
@@ -14,7 +15,7 @@ from oakloom.llm.packing import pack_documents, packing_report
 from oakloom.llm.quality import not_prose, text_quality
 from oakloom.llm.splitting import split_responses
 from oakloom.llm.storage import table
-from oakloom.llm.variants import format_variants
+from oakloom.llm.variants import collapsed, format_variants
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +33,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("sample_id <> first_id").select("first_id", "sample_id")
 
 
+def p2_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    return collapsed(table(spark, folder, "sft_samples"), table(spark, folder, "sft_raw"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs_in_groups(near_duplicates(table(spark, folder, "sft_samples")))
 
@@ -49,6 +54,10 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_responses(table(spark, folder, "sft_samples"), table(spark, folder, "data_configs"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return response_defects(table(spark, folder, "sft_samples"), table(spark, folder, "common_words"))
+
+
 def _capacity(spark: SparkSession, folder: str) -> int:
     """The max_length of the config whose training data are many files."""
     return table(spark, folder, "data_configs").where("name = 'pretrain_multi'").first().max_length
@@ -76,7 +85,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_sequences": p6_sequences, "p6_report": p6_report, "p7_found": p7_found, "p8_statistics": p8_statistics, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_sequences": p6_sequences, "p6_report": p6_report, "p7_found": p7_found, "p8_statistics": p8_statistics, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
