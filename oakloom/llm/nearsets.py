@@ -44,13 +44,16 @@ def bitmaps(flat: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
 
 def within_ring(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs of bitmaps have a chain within the budgets. a, b: (pairs, 4) int64; sizes: m + n of each pair."""
-    differ = np.bitwise_count(a.view(np.uint32) ^ b.view(np.uint32)).astype(np.float64)
-    share = (sizes * ((1 - threshold) / (1 + threshold)) / SEGMENTS)[:, None]
-    ring = np.concatenate([differ, differ[:, :-1]], axis=1) - share
+    most = sizes * ((1 - threshold) / (1 + threshold))
+    differ = np.bitwise_count(np.ascontiguousarray(a ^ b).view(np.uint32))
+    alive = differ.sum(axis=1) <= most + 1e-6  # the chain around the whole ring; the others are tested where it holds
+    at = np.flatnonzero(alive)
+    ring = np.concatenate([differ[at], differ[at, :-1]], axis=1) - (most[at] / SEGMENTS)[:, None]
     total = np.concatenate([np.zeros((len(ring), 1)), np.cumsum(ring, axis=1)], axis=1)
-    alive = np.zeros(len(ring), bool)
+    chain = np.zeros(len(ring), bool)
     for start in range(SEGMENTS):
-        alive |= (total[:, start + 1 : start + SEGMENTS + 1] - total[:, start : start + 1]).max(axis=1) <= 1e-6
+        chain |= (total[:, start + 1 : start + SEGMENTS + 1] - total[:, start : start + 1]).max(axis=1) <= 1e-6
+    alive[at] = chain
     return alive
 
 
@@ -176,7 +179,7 @@ def _hot_pairs(hot: DataFrame, bitmap: DataFrame, threshold: float, cross: bool,
             j = np.arange(i + 1, len(node)) if same else np.flatnonzero(mine != mine[i])
             j = j[(node[j] != node[i]) & ((side[j] != side[i]) if cross else True)]
             if len(j):
-                j = j[within_ring(np.repeat(bits[i : i + 1], len(j), axis=0), bits[j], n[j] + n[i], threshold)]
+                j = j[within_ring(bits[i : i + 1], bits[j], n[j] + n[i], threshold)]
                 swap = (side[j] < side[i]) if cross else (node[j] < node[i])
                 out_a.append(np.where(swap, node[j], node[i]))
                 out_b.append(np.where(swap, node[i], node[j]))
