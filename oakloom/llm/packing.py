@@ -146,6 +146,8 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _packed_blocks(pieces: DataFrame, capacity: int) -> DataFrame:
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that AQE doesn't gather these few bytes in one task
+
     def one(table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("piece_no").to_numpy(), table.column("doc_id").to_numpy()))
         table = table.take(pa.array(order))
@@ -155,7 +157,7 @@ def _packed_blocks(pieces: DataFrame, capacity: int) -> DataFrame:
         return pa.table({"doc_id": table.column("doc_id"), "piece_no": table.column("piece_no"), "first_token": table.column("first_token"), "tokens": table.column("tokens"), "sequence_id": sequence, "fill": fill[bins]})
 
     schema = "doc_id bigint, piece_no bigint, first_token bigint, tokens bigint, sequence_id bigint, fill bigint"
-    return pieces.select("block", "doc_id", "piece_no", "first_token", "tokens").groupBy("block").applyInArrow(one, schema)
+    return pieces.select("block", "doc_id", "piece_no", "first_token", "tokens").repartition(parts, "block").groupBy("block").applyInArrow(one, schema)
 
 
 def pack_documents(documents: DataFrame, capacity: int, vocabulary: str | None = None, block_items: int = 4000, good: float = 0.98) -> DataFrame:
