@@ -2,10 +2,452 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from oakloom.functions import numerics as N
+from oakloom.functions import text as X
+from oakloom.functions import tokens as T
+from oakloom.operators import corpus, metrics, model, registry, sampling, windows
+from oakloom.sources.files import parsed_records, table
 
-def oracle_sql():
-    return {}
+# Added before means are rounded: values of six digits make ties, which the engines' sums in different order would break differently.
+TIE = 1.3e-9
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def keep(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+# The line ends and white space of oakloom.functions.text in the dialect of the SQL engine.
+_END = r"\r\n|[\n\x0B\f\r\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+_SPACE = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+_LINES_SQL = f"""
+    parts AS (SELECT doc_id, source, lang, string_split_regex(text, '{_END}') AS p FROM documents WHERE text IS NOT NULL),
+    whole AS (SELECT doc_id, source, lang, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM parts),
+    lines AS (SELECT doc_id, source, lang, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS line_no FROM whole),
+    stripped AS (SELECT doc_id, source, lang, line_no, {_strip_sql("line")} AS line FROM lines)"""
+
+
+def _document_lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", "source", "lang", F.posexplode(X.lines("text")).alias("line_no", "line"))
+
+
+# Corpus
+
+
+@query(f"""WITH {_LINES_SQL}
+    SELECT source, count(*) AS lines_in, count(*) FILTER (length(line) BETWEEN 10 AND 10000) AS lines_out,
+      coalesce(sum(length(line)) FILTER (length(line) BETWEEN 10 AND 10000), 0)::BIGINT AS chars_out FROM stripped GROUP BY source""")
+def clean_stats(spark, folder):
+    return corpus.clean_stats(_document_lines(spark, folder), ["source"])
+
+
+@query(f"WITH {_LINES_SQL} SELECT doc_id, line_no, line FROM stripped WHERE length(line) BETWEEN 10 AND 10000")
+def clean_lines(spark, folder):
+    return corpus.clean_lines(_document_lines(spark, folder)).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
+@query(f"WITH {_LINES_SQL} SELECT source, lang, count(*) AS lines FROM stripped WHERE length(line) BETWEEN 10 AND 10000 GROUP BY source, lang")
+def corpus_by_source_lang(spark, folder):
+    return corpus.clean_lines(_document_lines(spark, folder)).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"""SELECT path, source, count(*) AS lines_in, count(*) FILTER (length(s) BETWEEN 10 AND 10000) AS lines_out,
+      coalesce(sum(length(s)) FILTER (length(s) BETWEEN 10 AND 10000), 0)::BIGINT AS chars_out
+    FROM (SELECT path, source, {_strip_sql("line")} AS s FROM corpus_lines) GROUP BY path, source""")
+def corpus_file_stats(spark, folder):
+    return corpus.clean_stats(table(spark, folder, "corpus_lines"), ["path", "source"])
+
+
+@query(f"""SELECT doc_id, coalesce(length(text), 0) AS tokens,
+      len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '')) AS words, left(text, 50) AS preview FROM documents""")
+def token_counts(spark, folder):
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("tokens"), X.word_count("text").alias("words"), F.left("text", F.lit(50)).alias("preview"))
+
+
+@query("""WITH t AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS x FROM documents WHERE text <> '')
+    SELECT doc_id, len(x) AS n, list_sum(x)::BIGINT AS total, list_sum(x[-8:])::BIGINT AS tail FROM t""")
+def code_point_tokens(spark, folder):
+    t = table(spark, folder, "documents").where("text <> ''").select("doc_id", T.code_points("text").alias("x"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return t.select("doc_id", F.size("x").cast("bigint").alias("n"), add(F.col("x")).alias("total"), add(T.keep_last("x", 8)).alias("tail"))
+
+
+# Windows and samples
+
+
+@query("""WITH s AS (SELECT string_agg(text, '' ORDER BY doc_id) AS t FROM documents WHERE text <> ''),
+    k AS (SELECT t, unnest(range(0, CASE WHEN length(t) > 512 THEN (length(t) - 512 + 383) // 384 ELSE 0 END)) AS k FROM s),
+    w AS (SELECT k, list_transform(string_split(substr(t, k * 384 + 1, 513), ''), lambda c: unicode(c)) AS x FROM k)
+    SELECT k::BIGINT AS k, len(x) AS n, list_sum(x)::BIGINT AS total, x[1]::BIGINT AS first, x[-1]::BIGINT AS last FROM w""")
+def pack_windows(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", T.code_points("text").alias("tokens"))
+    packed = windows.pack_windows(docs, "doc_id", "tokens", 512, 384)
+    return packed.select("k", F.size("window").cast("bigint").alias("n"), F.aggregate("window", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"),
+                         F.get("window", F.lit(0)).cast("bigint").alias("first"), F.element_at("window", -1).cast("bigint").alias("last"))
+
+
+@query("""WITH d AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS x FROM documents WHERE length(text) > 256),
+    k AS (SELECT doc_id, x, unnest(range(0, len(x) - 256, 192)) AS i FROM d)
+    SELECT doc_id, (i // 192)::BIGINT AS k, list_sum(x[i + 1 : i + 256])::BIGINT AS inputs, list_sum(x[i + 2 : i + 257])::BIGINT AS labels FROM k""")
+def document_windows(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", T.code_points("text").alias("tokens"))
+    each = docs.select("doc_id", F.posexplode(windows.document_windows("tokens", 256, 192)).alias("k", "w"))
+    ids, labels = windows.next_token_pair("w")
+    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return each.select("doc_id", F.col("k").cast("bigint").alias("k"), add(ids).alias("inputs"), add(labels).alias("labels"))
+
+
+_PROMPT_SQL = "'### Instruction:' || chr(10) || prompt || chr(10) || chr(10) || '### Response:' || chr(10)"
+
+
+@query(f"SELECT sample_id, {_PROMPT_SQL} AS prompt_text, {_PROMPT_SQL} || response || '<end>' AS full_text FROM sft_samples WHERE prompt IS NOT NULL AND response IS NOT NULL")
+def sft_texts(spark, folder):
+    s = table(spark, folder, "sft_samples").where("prompt is not null and response is not null")
+    return s.select("sample_id", X.prompt_text("prompt").alias("prompt_text"), X.full_text("prompt", "response", "<end>").alias("full_text"))
+
+
+def _masked(spark: SparkSession, folder: str, most: int = 512) -> DataFrame:
+    s = table(spark, folder, "sft_samples").where("prompt is not null and response is not null")
+    s = s.select("sample_id", F.length(X.prompt_text("prompt")).alias("prompt_length"), T.code_points(X.full_text("prompt", "response")).alias("full"))
+    ids, labels = windows.masked_labels("full", F.col("prompt_length"), most)
+    return s.select("sample_id", ids.alias("input_ids"), labels.alias("labels"))
+
+
+@query(f"""WITH s AS (SELECT sample_id, length({_PROMPT_SQL}) AS p, length({_PROMPT_SQL} || response) AS n FROM sft_samples WHERE prompt IS NOT NULL AND response IS NOT NULL)
+    SELECT sample_id, least(n, 512) AS tokens, least(p, n, 512) AS masked, p >= least(n, 512) AS trains_nothing FROM s""")
+def sft_masked(spark, folder):
+    ignored = F.size(F.filter("labels", lambda x: x == windows.IGNORED)).cast("bigint")
+    return _masked(spark, folder).select("sample_id", F.size("input_ids").cast("bigint").alias("tokens"), ignored.alias("masked"), windows.trains_nothing("labels").alias("trains_nothing"))
+
+
+@query(f"""WITH s AS (SELECT sample_id, least(length({_PROMPT_SQL} || response), 512) AS n, (row_number() OVER (ORDER BY sample_id) - 1) AS r
+      FROM sft_samples WHERE prompt IS NOT NULL AND response IS NOT NULL)
+    SELECT sample_id, (r // 8)::BIGINT AS batch_id, (r % 8)::BIGINT AS row, max(n) OVER (PARTITION BY r // 8) AS width, max(n) OVER (PARTITION BY r // 8) - n AS padding FROM s""")
+def padded_batches(spark, folder):
+    padded = windows.padded(windows.numbered_batches(_masked(spark, folder).withColumn("own", F.size("input_ids")), "sample_id", 8))
+    return padded.select("sample_id", "batch_id", "row", F.size("labels").cast("bigint").alias("width"), (F.size("input_ids") - F.col("own")).cast("bigint").alias("padding"))
+
+
+@query()
+def shuffled_batches(spark, folder):
+    s = table(spark, folder, "sft_samples").select("sample_id", windows.seeded("sample_id").alias("at"))
+    return windows.numbered_batches(s, "at", 8, ("sample_id",)).select("sample_id", "batch_id", "row")
+
+
+@query()
+def byte_pair_counts(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", T.byte_pairs(T.vocabulary_path())("text").alias("t"))
+    return docs.select("doc_id", F.size("t").alias("tokens"), T.out_of_range(F.col("t"), 50_257).alias("out_of_range"))
+
+
+@query("""SELECT sample_id, json_extract_string(line, '$.prompt') AS prompt, json_extract_string(line, '$.response') AS response FROM
+      (SELECT sample_id, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' AND NOT contains(line, '\\u') AND NOT regexp_matches(line, ',\s*\}\s*$') THEN line END AS line FROM sft_raw)
+    WHERE json_extract_string(line, '$.prompt') IS NOT NULL AND json_extract_string(line, '$.response') IS NOT NULL""")
+def parsed_jsonl(spark, folder):
+    found = parsed_records(table(spark, folder, "sft_raw").where(~F.contains("line", F.lit("\\u"))))
+    return found.where("prompt is not null and response is not null").select("sample_id", "prompt", "response")
+
+
+# Registry
+
+
+@query("SELECT id, name, status, created_at FROM experiments WHERE status = 'completed' ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20")
+def list_page(spark, folder):
+    return registry.page(table(spark, folder, "experiments"), number=2, size=20, status="completed").select("id", "name", "status", "created_at")
+
+
+@query("SELECT count(*) AS total FROM experiments WHERE status = 'completed'")
+def list_count(spark, folder):
+    return registry.page_total(table(spark, folder, "experiments"), status="completed")
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 40")
+def order_page(spark, folder):
+    return registry.page(table(spark, folder, "orders"), "o_orderdate", 3, 20, "o_orderkey", o_orderstatus="O").select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query("SELECT id, name, status FROM experiments WHERE id = 7")
+def point_lookup(spark, folder):
+    return registry.where_equal(table(spark, folder, "experiments"), id=7).select("id", "name", "status")
+
+
+@query("""SELECT m.experiment_id, m.id, m.name, m.registered_at FROM experiments e JOIN registered_models m ON m.experiment_id = e.id""")
+def models_for_experiment(spark, folder):
+    found = registry.children_of(table(spark, folder, "experiments"), table(spark, folder, "registered_models"), "experiment_id")
+    return found.select("experiment_id", "id", "name", "registered_at").orderBy(F.desc("registered_at"), F.desc("id"))
+
+
+@query("SELECT id, experiment_id, name FROM registered_models WHERE experiment_id IN (SELECT id FROM experiments)")
+def register_valid(spark, folder):
+    return registry.with_parent(table(spark, folder, "registered_models"), table(spark, folder, "experiments"), "experiment_id").select("id", "experiment_id", "name")
+
+
+@query("SELECT id, experiment_id, name FROM registered_models m WHERE NOT EXISTS (SELECT 1 FROM experiments e WHERE e.id = m.experiment_id)")
+def register_invalid(spark, folder):
+    return registry.without_parent(table(spark, folder, "registered_models"), table(spark, folder, "experiments"), "experiment_id").select("id", "experiment_id", "name")
+
+
+@query("SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_status(spark, folder):
+    return registry.latest(table(spark, folder, "events"), "user_id", "event_type", ["ts", "event_id"]).select("user_id", F.col("event_type").alias("status"))
+
+
+@query("""WITH b AS (SELECT e.id, j.key, try_cast(j.value AS DOUBLE) AS value, -1 AS seq FROM experiments e, json_each(e.metrics) j),
+    first AS (SELECT name, min(id) AS id FROM experiments GROUP BY name),
+    p AS (SELECT f.id, m.key, m.value, m.seq FROM metric_log m JOIN first f ON f.name = m.run WHERE m.key LIKE 'eval/%'),
+    a AS (SELECT *, row_number() OVER (PARTITION BY id, key ORDER BY seq DESC) AS r FROM (SELECT * FROM b UNION ALL SELECT * FROM p))
+    SELECT id, key, CASE WHEN isnan(value) OR isinf(value) THEN NULL ELSE value END AS value FROM a WHERE r = 1""")
+def metrics_merge(spark, folder):
+    experiments = table(spark, folder, "experiments")
+    base = registry.json_entries(experiments, "id", "metrics").withColumnRenamed("name", "key")
+    first = experiments.groupBy("name").agg(F.min("id").alias("id")).withColumnRenamed("name", "run")
+    patches = table(spark, folder, "metric_log").where("key like 'eval/%'").join(first, "run")
+    return registry.merged_metrics(base, patches).select("id", "key", metrics.finite("value").alias("value"))
+
+
+def _versions(spark: SparkSession, folder: str) -> DataFrame:
+    models = table(spark, folder, "registered_models")
+    return models.select("id", "name", F.get_json_object("parameters", "$.version").alias("version"), F.get_json_object("parameters", "$.stage").alias("stage"))
+
+
+_VERSIONS_SQL = "WITH v AS (SELECT id, name, json_extract_string(parameters, '$.version') AS version, json_extract_string(parameters, '$.stage') AS stage FROM registered_models)"
+
+
+@query(f"""{_VERSIONS_SQL} SELECT name, CASE WHEN coalesce(bool_or(version IS NOT NULL AND try_cast(version AS BIGINT) IS NULL), false) THEN NULL
+    ELSE max(try_cast(version AS BIGINT)) END::VARCHAR AS version FROM v GROUP BY name""")
+def latest_version(spark, folder):
+    return registry.latest_version(_versions(spark, folder))
+
+
+@query(f"{_VERSIONS_SQL} SELECT name, max(try_cast(version AS BIGINT))::VARCHAR AS version FROM v WHERE stage = 'Production' GROUP BY name")
+def latest_production_version(spark, folder):
+    return registry.latest_version(_versions(spark, folder), stage="Production")
+
+
+@query(f"{_VERSIONS_SQL} SELECT name, stage FROM (SELECT *, row_number() OVER (PARTITION BY name, version ORDER BY id DESC) AS r FROM v) WHERE r = 1 AND version = '3'")
+def stage_of_version(spark, folder):
+    return registry.latest(_versions(spark, folder), ["name", "version"], "stage", ["id"]).where("version = '3'").select("name", "stage")
+
+
+@query("""SELECT id, length(name) BETWEEN 1 AND 255 AND coalesce(length(description) <= 1000, true) AND status IN ('created', 'running', 'completed', 'failed', 'cancelled') AS valid FROM experiments""")
+def validation(spark, folder):
+    return table(spark, folder, "experiments").select("id", (F.size(registry.violations(registry.experiment_rules())) == 0).alias("valid"))
+
+
+@query("SELECT CASE WHEN bool_and(coalesce(c_acctbal > -900, false)) THEN 'ok' ELSE 'degraded' END AS status FROM customer")
+def readiness(spark, folder):
+    return registry.readiness(table(spark, folder, "customer").select((F.col("c_acctbal") > -900).alias("ok")))
+
+
+@query("""SELECT doc_id, '[Model output for: ' || left(text, 50) || '...]' AS answer, length(text) AS input_chars FROM documents WHERE length(text) >= 1""")
+def placeholder_inference(spark, folder):
+    docs = table(spark, folder, "documents").where(F.length("text") >= 1)
+    return docs.select("doc_id", X.echo_answer("text").alias("answer"), F.length("text").cast("bigint").alias("input_chars"))
+
+
+# Metrics
+
+_ONCE_SQL = """once AS (SELECT run, key, step, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY run, key, step, CASE WHEN step IS NULL THEN seq END ORDER BY seq DESC) AS r FROM metric_log) WHERE r = 1),
+    fin AS (SELECT run, key, step, seq, CASE WHEN NOT isnan(value) AND NOT isinf(value) THEN value END AS value FROM once)"""
+
+
+@query(f"WITH {_ONCE_SQL} SELECT run, key, step, seq, value FROM fin")
+def metric_series(spark, folder):
+    return metrics.delivered_once(table(spark, folder, "metric_log")).select("run", "key", "step", "seq", metrics.finite("value").alias("value"))
+
+
+@query("SELECT run, key, step, seq FROM metric_log WHERE step % 500 = 0")
+def every_n_steps(spark, folder):
+    return table(spark, folder, "metric_log").where(metrics.every("step", 500)).select("run", "key", "step", "seq")
+
+
+@query(f"""WITH {_ONCE_SQL} SELECT run, ((step - 1) // 500)::BIGINT AS epoch, round(avg(value) + {TIE}, 6) AS mean_loss, count(*) AS batches
+    FROM fin WHERE key = 'train/loss' AND step IS NOT NULL GROUP BY ALL""")
+def epoch_mean(spark, folder):
+    log = metrics.delivered_once(table(spark, folder, "metric_log").where("key = 'train/loss'"))
+    return metrics.epoch_means(log, 500).select("run", "epoch", F.round(F.col("mean_loss") + TIE, 6).alias("mean_loss"), "batches")
+
+
+@query(f"""WITH {_ONCE_SQL}, m AS (SELECT run, step, avg(value) AS v FROM fin WHERE key = 'eval/loss' GROUP BY run, step)
+    SELECT run, round(coalesce(avg(v), 0) + {TIE}, 6) AS eval_loss, round(exp(coalesce(avg(v), 0)), 4) AS perplexity FROM m GROUP BY run""")
+def eval_loss_perplexity(spark, folder):
+    log = metrics.delivered_once(table(spark, folder, "metric_log").where("key = 'eval/loss'")).withColumn("value", metrics.finite("value"))
+    return metrics.eval_loss(log, "step", "value", ["run"]).select("run", F.round(F.col("eval_loss") + TIE, 6).alias("eval_loss"), F.round("perplexity", 4).alias("perplexity"))
+
+
+@query(f"""WITH {_ONCE_SQL}, b AS (SELECT run, step, seq, value, min(value) OVER (PARTITION BY run ORDER BY step NULLS FIRST, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM fin WHERE key = 'eval/loss')
+    SELECT run, step, seq, coalesce(value < coalesce(best, 'inf'::DOUBLE), false) AS improved, best AS best_before FROM b""")
+def running_best(spark, folder):
+    log = metrics.delivered_once(table(spark, folder, "metric_log").where("key = 'eval/loss'"))
+    best = F.when(F.col("best_before") != float("inf"), F.col("best_before"))
+    return metrics.running_best(log).select("run", "step", "seq", "improved", best.alias("best_before"))
+
+
+@query(f"""WITH t AS (SELECT name, try_cast(json_extract_string(training_config_snapshot, '$.num_epochs') AS BIGINT) * 1000 AS total,
+      try_cast(json_extract_string(training_config_snapshot, '$.warmup_ratio') AS DOUBLE) AS ratio, id FROM experiments)
+    SELECT id, total, floor(total * ratio)::BIGINT AS warmup FROM t""")
+def total_steps(spark, folder):
+    number = lambda k, kind: F.expr(f"try_cast(get_json_object(training_config_snapshot, '$.{k}') AS {kind})")
+    e = table(spark, folder, "experiments").select("id", number("num_epochs", "bigint").alias("epochs"), number("warmup_ratio", "double").alias("ratio"))
+    total = F.col("epochs") * 1000
+    return e.select("id", total.alias("total"), F.floor(total * F.col("ratio")).cast("bigint").alias("warmup"))
+
+
+@query(f"""SELECT range AS step, round(CASE WHEN range < 100 THEN range / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos({math.pi} * ((range - 100) / 900.0))) END, 9)::DOUBLE AS factor FROM range(1000)""")
+def lr_schedule(spark, folder):
+    return metrics.schedule(spark, 1000, 100).select("step", F.round("factor", 9).alias("factor"))
+
+
+@query("""SELECT run, key, count(*) AS n, min(CASE WHEN NOT isnan(value) AND NOT isinf(value) THEN value END) AS lowest, max(step) AS last_step FROM metric_log GROUP BY run, key""")
+def metric_summary(spark, folder):
+    log = table(spark, folder, "metric_log")
+    return log.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n"), F.min(metrics.finite("value")).alias("lowest"), F.max("step").alias("last_step"))
+
+
+def _manifest(spark: SparkSession) -> DataFrame:
+    shapes = model.ModelConfig().parameters()
+    return spark.createDataFrame([(n, int(math.prod(s)), "norm" not in n) for n, s in shapes.items()], "name string, numel bigint, requires_grad boolean")
+
+
+_MANIFEST_SQL = "WITH p AS (SELECT * FROM (VALUES {}) AS v(name, numel, requires_grad))".format(
+    ", ".join(f"('{n}', {math.prod(s)}::BIGINT, {str('norm' not in n).lower()})" for n, s in model.ModelConfig().parameters().items())
+)
+
+
+@query(f"{_MANIFEST_SQL} SELECT name, CASE WHEN regexp_matches(name, 'bias|norm|embed') THEN 0.0 ELSE 0.01 END::DOUBLE AS decay FROM p")
+def weight_decay_groups(spark, folder):
+    return _manifest(spark).select("name", metrics.weight_decay("name").alias("decay"))
+
+
+@query(f"{_MANIFEST_SQL} SELECT sum(numel)::BIGINT AS total, (sum(numel) FILTER (requires_grad))::BIGINT AS trainable FROM p")
+def param_count(spark, folder):
+    return metrics.parameter_counts(_manifest(spark))
+
+
+@query("""WITH n AS (SELECT o_orderkey, (o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1 WHEN 2 THEN 100 ELSE 100000 END)::BIGINT AS n FROM orders)
+    SELECT o_orderkey, CASE WHEN n >= 1000000000 THEN printf('%.2fB', n / 1e9) WHEN n >= 1000000 THEN printf('%.2fM', n / 1e6) WHEN n >= 1000 THEN printf('%.2fK', n / 1e3) ELSE n::VARCHAR END AS label FROM n""")
+def human_number(spark, folder):
+    scale = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 0.001D WHEN 1 THEN 1D WHEN 2 THEN 100D ELSE 100000D END")
+    return table(spark, folder, "orders").select("o_orderkey", X.human_number(F.rint(F.col("o_totalprice") * scale).cast("bigint")).alias("label"))
+
+
+# Numerics
+
+
+def _embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
+
+
+_X = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
+
+
+def _positions(df: DataFrame, column: str) -> DataFrame:
+    out = df.select("vec_id", F.posexplode(column).alias("i", "v"))
+    return out.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("v", 8).alias("v"))
+
+
+@query(f"""{_X}, n AS (SELECT vec_id, x, 1 / sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x) + 1e-6) AS s FROM e)
+    SELECT vec_id, generate_subscripts(x, 1) - 1 AS i, round(unnest(x) * s, 8) AS v FROM n""")
+def rmsnorm(spark, folder):
+    return _positions(_embeddings(spark, folder).select("vec_id", N.rms_norm("x").alias("y")), "y")
+
+
+@query(f"""{_X}, m AS (SELECT vec_id, list_transform(x, lambda v: exp((v - list_max(x)) / 0.7)) AS y FROM e)
+    SELECT vec_id, generate_subscripts(y, 1) - 1 AS i, round(unnest(y) / list_sum(y), 8) AS v FROM m""")
+def softmax(spark, folder):
+    return _positions(_embeddings(spark, folder).select("vec_id", N.softmax("x", 0.7).alias("y")), "y")
+
+
+@query(f"""{_X}, u AS (SELECT vec_id, x, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM e),
+    a AS (SELECT vec_id, i, v, CASE WHEN i < 32 THEN -x[i + 33] ELSE x[i - 31] END AS turned, (vec_id % 128) / pow(10000.0, 2 * (i % 32) / 64.0) AS angle FROM u)
+    SELECT vec_id, i, round(v * cos(angle) + turned * sin(angle), 8) AS v FROM a""")
+def rope(spark, folder):
+    e = _embeddings(spark, folder).select("vec_id", N.apply_rope("x", (F.col("vec_id") % 128).cast("double"), 64).alias("y"))
+    return _positions(e, "y")
+
+
+@query(f"""{_X} SELECT vec_id, round(list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) - x[label + 1], 8) AS loss FROM e""")
+def cross_entropy(spark, folder):
+    return _embeddings(spark, folder).select("vec_id", F.round(N.cross_entropy("x", "label"), 8).alias("loss"))
+
+
+@query(f"""{_X}, u AS (SELECT vec_id, generate_subscripts(x, 1) - 1 AS token, unnest(list_transform(x, lambda v: exp((v - list_max(x)) / 0.05))) AS w FROM e),
+    p AS (SELECT vec_id, token, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM u),
+    r AS (SELECT vec_id, token, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS rank, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) AS s FROM p)
+    SELECT vec_id, token, rank FROM r WHERE rank = 1 OR s <= 0.9""")
+def nucleus(spark, folder):
+    kept = sampling.nucleus(_embeddings(spark, folder), "vec_id", "x", 0.9, 0.05)
+    return kept.select("vec_id", F.col("token").cast("bigint").alias("token"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def nucleus_draws(spark, folder):
+    return sampling.drawn(sampling.nucleus(_embeddings(spark, folder), "vec_id", "x", 0.9, 0.05), "vec_id")
+
+
+@query(f"""{_X} SELECT vec_id, round(least(1.0, 0.5 / (sqrt(list_sum(list_transform(x, lambda v: v * v))) + 1e-6)), 8) AS scale,
+    round(list_sum(list_transform(x, lambda v: v / (1 + exp(-v)) * v)), 8) AS gated FROM e""")
+def clip_and_gate(spark, folder):
+    e = _embeddings(spark, folder)
+    return e.select("vec_id", F.round(N.norm_scale("x", 0.5), 8).alias("scale"), F.round(N.dot(F.transform("x", N.silu), F.col("x")), 8).alias("gated"))
+
+
+# Model
+
+_TINY = model.ModelConfig(vocab_size=256, n_embed=32, n_layer=2, n_head=4, max_seq_len=48)
+
+
+def _model_samples(spark: SparkSession, folder: str) -> DataFrame:
+    s = table(spark, folder, "eval_items").where("length(passage) > 1")
+    tokens = F.transform(T.code_points("passage", 48), lambda c: F.pmod(c, F.lit(256)))
+    ids, labels = windows.next_token_pair("w")
+    return s.select("item_id", tokens.alias("w")).select("item_id", ids.alias("input_ids"), labels.alias("labels"))
+
+
+@query()
+def forward_logits(spark, folder):
+    return model.last_logits(_model_samples(spark, folder), "item_id", "input_ids", model.initial_weights(_TINY), _TINY)
+
+
+@query()
+def model_eval_loss(spark, folder):
+    losses = model.sequence_losses(_model_samples(spark, folder), "item_id", model.initial_weights(_TINY), _TINY)
+    return metrics.eval_loss(losses.withColumn("batch_id", F.expr("item_id div 8")))
+
+
+@query()
+def greedy_generate(spark, folder):
+    prompts = _model_samples(spark, folder).select("item_id", F.slice("input_ids", 1, 16).alias("tokens"))
+    return model.generated(prompts, "item_id", "tokens", model.initial_weights(_TINY), _TINY, 8)
