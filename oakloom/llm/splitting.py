@@ -71,10 +71,15 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     overlap = max(0, min(overlap, limit - 1))
     if n <= limit:
         return [(0, n)]
-    table = StrongestCut(boundary_strengths(text))
-    out, start = [], 0
+    strengths = boundary_strengths(text)
+    # the table covers a stretch of many pieces at a time, so that memory doesn't grow with the text
+    stretch = max(32 * limit, 1 << 16)
+    out, start, base, table = [], 0, 0, None
     while n - start > limit:
-        cut = table.best(start + max(overlap + 1, (limit + 1) // 2), start + limit)
+        if table is None or start + limit >= base + table.n:
+            base = start
+            table = StrongestCut(strengths[base : base + stretch + 1])
+        cut = base + table.best(start - base + max(overlap + 1, (limit + 1) // 2), start - base + limit)
         out.append((start, cut))
         start = cut - overlap
     out.append((start, n))
