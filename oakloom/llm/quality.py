@@ -66,7 +66,8 @@ _COMMA, _SEMICOLON = re.compile(r",(?!\s)"), re.compile(r";(?!\s)")
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|(?:[a-z]\d|\d[a-z]){1}.*(?:[a-z]\d|\d[a-z])|^[0-9a-f]{2}(?:h|ff)$|^\d?[a-f]\d?$")
 _ENDED = re.compile(r"[.!?:…。！？：][\"'”’)»\]*_`]*\s*$")
 _QUOTE = re.compile(r"^\s*(?:>\s?)+")
-ENTRY_LENGTH = 45
+#: Longest entry of a list without marks; distinct words that count as few when a line says them over and over.
+ENTRY_LENGTH, FEW = 45, 12
 
 
 # Characters of broken encodings, and marks of sentences.
@@ -188,7 +189,7 @@ class LineProfiles:
                                 k = known[w] = word_class(w, common)
                             row[k] += 1
                         again = len(found) - len(distinct)
-                        row[AGAIN if len(distinct) <= max(4, len(found) / 4) else FUNCTION] += again
+                        row[AGAIN if len(distinct) <= min(FEW, max(4, len(found) / 4)) else FUNCTION] += again
                         said[at] = row
                         counts[at] = (len(found), sum(map(len, found)), sum(map(common.__contains__, found)))
                     shape = self._shape(line, bare, before)
