@@ -12,6 +12,11 @@ def _doubles(x: Column | str) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("array<double>")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once; in a lambda over an array it would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -26,8 +31,8 @@ def rms_norm(x: Column | str, weight: Column | float = 1.0, eps: float = 1e-6) -
     x = _doubles(x)
     scale = 1 / F.sqrt(mean_square(x) + eps)
     if isinstance(weight, Column):
-        return F.zip_with(x, weight, lambda a, w: w * a * scale)
-    return F.transform(x, lambda a: a * weight * scale)
+        return bound(scale, lambda s: F.zip_with(x, weight, lambda a, w: w * a * s))
+    return bound(scale, lambda s: F.transform(x, lambda a: a * weight * s))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -39,13 +44,13 @@ def softmax(x: Column | str, temperature: float = 1.0) -> Column:
     if temperature <= 0:
         raise ValueError("temperature must be above 0")
     x = _doubles(x)
-    raised = F.transform(x, lambda v: F.exp((v - F.array_max(x)) / temperature))
-    return F.transform(raised, lambda v: v / total(raised))
+    raised = bound(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp((v - m) / temperature)))
+    return bound(raised, lambda r: bound(total(r), lambda t: F.transform(r, lambda v: v / t)))
 
 
 def log_sum_exp(x: Column | str) -> Column:
     x = _doubles(x)
-    return F.array_max(x) + F.log(total(F.transform(x, lambda v: F.exp(v - F.array_max(x)))))
+    return bound(F.array_max(x), lambda m: m + F.log(total(F.transform(x, lambda v: F.exp(v - m)))))
 
 
 def cross_entropy(logits: Column | str, target: Column | str, ignore: int = -100) -> Column:

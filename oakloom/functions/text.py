@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The line ends of str.splitlines and the 29 white-space characters of str.strip, as Java classes.
 LINE_END = "\\r\\n|[\\n\\x0B\\f\\r\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
@@ -58,7 +59,7 @@ def without_prefix(text: Column | str, prompt: Column | str) -> Column:
     return strip(F.substring(_col(text), F.length(_col(prompt)) + 1, F.length(_col(text))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def human_number(n: pd.Series) -> pd.Series:
     """4.12M, 4.50B, 1.00K, 999. Rounds half to even on the binary value, which format_string doesn't; null stays null."""
 

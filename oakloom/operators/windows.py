@@ -26,16 +26,17 @@ def offsets(sizes: DataFrame, order: str, size: str, ties: tuple[str, ...] = (),
     return joined.withColumn("offset", F.col("_start") + F.col("_own")).drop("_range", "_start", "_own")
 
 
-def pack_windows(docs: DataFrame, key: str, tokens: str, length: int, stride: int | None = None, strict: bool = True) -> DataFrame:
+def pack_windows(docs: DataFrame, key: str, tokens: str, length: int, stride: int | None = None, strict: bool = True, size: str | None = None) -> DataFrame:
     """(k, window): the token arrays one after the other in the order of ``key``, cut into windows of length + 1 tokens
     that start every ``stride`` tokens (of None or 0: every ``length``).
 
     A window may cross documents; the last tokens that fill no window are left out. Null and empty arrays
-    take no room. With ``strict``, a stream too short for any window is an error, as in training.
+    take no room. ``size`` names a column with the arrays' sizes where it is cheaper than the arrays. With ``strict``, a stream too short for any window is an error, as in training.
     """
     step = stride or length
-    sized = docs.where(F.size(tokens) > 0).select(F.col(key).alias("_key"), F.col(tokens).alias("_tokens"))
-    placed = offsets(sized.select("_key", F.size("_tokens").cast("bigint").alias("_n")), "_key", "_n")
+    count = (F.col(size) if size else F.size(tokens)).cast("bigint")
+    sized = docs.where(count > 0).select(F.col(key).alias("_key"), F.col(tokens).alias("_tokens"), count.alias("_n"))
+    placed = offsets(sized.select("_key", "_n"), "_key", "_n")
     total = placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     windows = -(-(total - length) // step) if total > length else 0
     if strict and not windows:
@@ -43,10 +44,16 @@ def pack_windows(docs: DataFrame, key: str, tokens: str, length: int, stride: in
     first = F.greatest(F.lit(0), F.ceil((F.col("offset") - length) / step)).cast("bigint")
     last = F.least(F.lit(windows - 1), F.expr(f"(offset + _n - 1) div {step}")).cast("bigint")
     spread = placed.withColumn("_first", first).withColumn("_last", last).where("_last >= _first")
-    pieces = spread.join(sized, "_key").select("*", F.explode(F.sequence("_first", "_last")).alias("k"))
-    lo = F.greatest(F.col("k") * step, F.col("offset"))
-    hi = F.least(F.col("k") * step + length, F.col("offset") + F.col("_n") - 1)
-    cut = pieces.select("k", "offset", F.slice("_tokens", (lo - F.col("offset") + 1).cast("int"), F.greatest(hi - lo + 1, F.lit(0)).cast("int")).alias("_part")).where(F.size("_part") > 0)
+    pieces = spread.join(sized.drop("_n"), "_key")
+    start, final = F.col("offset"), F.col("offset") + F.col("_n") - 1
+
+    def piece(k: Column) -> Column:
+        lo, hi = F.greatest(k * step, start), F.least(k * step + length, final)
+        return F.struct(k.alias("k"), F.slice("_tokens", (lo - start + 1).cast("int"), F.greatest(hi - lo + 1, F.lit(0)).cast("int")).alias("_part"))
+
+    # cut first and spread then, so that no row carries a whole document for each of its windows
+    spread_out = pieces.select("offset", F.explode(F.transform(F.sequence("_first", "_last"), piece)).alias("_piece"))
+    cut = spread_out.select("_piece.k", "offset", "_piece._part").where(F.size("_part") > 0)
     parts = F.array_sort(F.collect_list(F.struct("offset", "_part")))
     return cut.groupBy("k").agg(F.flatten(F.transform(parts, lambda s: s["_part"])).alias("window"))
 

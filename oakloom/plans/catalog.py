@@ -112,8 +112,8 @@ def code_point_tokens(spark, folder):
     w AS (SELECT k, list_transform(string_split(substr(t, k * 384 + 1, 513), ''), lambda c: unicode(c)) AS x FROM k)
     SELECT k::BIGINT AS k, len(x) AS n, list_sum(x)::BIGINT AS total, x[1]::BIGINT AS first, x[-1]::BIGINT AS last FROM w""")
 def pack_windows(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", T.code_points("text").alias("tokens"))
-    packed = windows.pack_windows(docs, "doc_id", "tokens", 512, 384)
+    docs = table(spark, folder, "documents").select("doc_id", T.code_points("text").alias("tokens"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    packed = windows.pack_windows(docs, "doc_id", "tokens", 512, 384, size="n")
     return packed.select("k", F.size("window").cast("bigint").alias("n"), F.aggregate("window", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"),
                          F.get("window", F.lit(0)).cast("bigint").alias("first"), F.element_at("window", -1).cast("bigint").alias("last"))
 
@@ -172,8 +172,8 @@ def byte_pair_counts(spark, folder):
     return docs.select("doc_id", F.size("t").alias("tokens"), T.out_of_range(F.col("t"), 50_257).alias("out_of_range"))
 
 
-@query("""SELECT sample_id, json_extract_string(line, '$.prompt') AS prompt, json_extract_string(line, '$.response') AS response FROM
-      (SELECT sample_id, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' AND NOT contains(line, '\\u') AND NOT regexp_matches(line, ',\s*\}\s*$') THEN line END AS line FROM sft_raw)
+@query(r"""SELECT sample_id, json_extract_string(line, '$.prompt') AS prompt, json_extract_string(line, '$.response') AS response FROM
+      (SELECT sample_id, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' AND NOT contains(line, '\u') AND NOT regexp_matches(line, ',\s*\}\s*$') THEN line END AS line FROM sft_raw)
     WHERE json_extract_string(line, '$.prompt') IS NOT NULL AND json_extract_string(line, '$.response') IS NOT NULL""")
 def parsed_jsonl(spark, folder):
     found = parsed_records(table(spark, folder, "sft_raw").where(~F.contains("line", F.lit("\\u"))))
