@@ -16,7 +16,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     Bytes that aren't UTF-8 are an error when the row is read, as they are in strict decoding.
     """
     files = spark.read.format("binaryFile").load(path) if path.endswith(".txt") else spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "false").load(path)
-    return files.select(F.col("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(F.col("path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
