@@ -132,23 +132,20 @@ def _scan_runs(most: int, cross: bool):
     return scan
 
 
-def candidate_pairs(keys: DataFrame, bitmap: DataFrame, threshold: float, cross: bool, most: int = 256, block: int = 1024) -> DataFrame:
-    """(a, b), each once: nodes that share a key and pass the pigeonring filter.
+def key_runs(keys: DataFrame, cross: bool, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, hot): all pairs (a, b) of keys with at most ``most`` rows, and the rows (key, node, side) of the others.
 
-    keys: (key bigint, node bigint, side int); bitmap: (node, n, s0..s3), one row per node. With ``cross``, a
-    is of side 0 and b of side 1; else a < b. Keys with more than ``most`` rows are cut into blocks of about
-    ``block`` rows; each two blocks of a key meet in a group of their own, where the filter runs before any
-    pair is emitted. So no key is dropped, and none is held by one task.
+    keys: (key bigint, node bigint, side int). With ``cross``, a is of side 0 and b of side 1; else a < b. A run of
+    equal keys streams through its task and is never held beyond ``most`` rows.
     """
-    spark = keys.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = keys.repartition(parts, "key").sortWithinPartitions("key", "node", "side").mapInArrow(_scan_runs(most, cross), "a bigint, b bigint, key bigint, side int")
     found = written(runs, "runs")
-    pairs = found.where("key is null").select("a", "b")
-    hot = found.where("key is not null").selectExpr("key", "a as node", "side")
-    if hot.take(1):
-        pairs = pairs.unionByName(_hot_pairs(hot, bitmap, threshold, cross, block))
-    pairs = pairs.distinct()
+    return found.where("key is null").select("a", "b"), found.where("key is not null").selectExpr("key", "a as node", "side")
+
+
+def pruned(pairs: DataFrame, bitmap: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), each once: the pairs that pass the pigeonring filter. bitmap: (node, n, s0..s3), one row per node."""
     left = bitmap.select(F.col("node").alias("a"), F.col("n").alias("na"), *(F.col(c).alias("a" + c) for c in _BITMAP))
     right = bitmap.select(F.col("node").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias("b" + c) for c in _BITMAP))
 
@@ -157,7 +154,64 @@ def candidate_pairs(keys: DataFrame, bitmap: DataFrame, threshold: float, cross:
         keep = within_ring(x, y, batch.column("na").to_numpy() + batch.column("nb").to_numpy(), threshold)
         return {"a": batch.column("a").to_numpy()[keep], "b": batch.column("b").to_numpy()[keep]}
 
-    return map_batches(pairs.join(left, "a").join(right, "b"), prune, "a bigint, b bigint")
+    return map_batches(pairs.distinct().join(left, "a").join(right, "b"), prune, "a bigint, b bigint")
+
+
+def candidate_pairs(keys: DataFrame, bitmap: DataFrame, threshold: float, cross: bool, most: int = 256, block: int = 1024) -> DataFrame:
+    """(a, b), each once: nodes that share a key and pass the pigeonring filter.
+
+    Keys with more than ``most`` rows are cut into blocks of about ``block`` rows; each two blocks of a key meet in a
+    group of their own, where the filter runs before any pair is emitted. So no key is dropped, and none is held by one task.
+    """
+    pairs, hot = key_runs(keys, cross, most)
+    if hot.take(1):
+        pairs = pairs.unionByName(_hot_pairs(hot, bitmap, threshold, cross, block))
+    return pruned(pairs, bitmap, threshold)
+
+
+def linked_components(keys: DataFrame, bitmap: DataFrame, threshold: float, verified, most: int = 512, block: int = 1024) -> DataFrame:
+    """(node, label) of the components of nodes that share a key, pass the filter and are ``verified``.
+
+    ``verified`` maps a frame of pairs (a, b) to those that are links. Keys with more than ``most`` rows give no
+    pairs at first: their rows are compared with one of them, the hub, so that a large group of alike
+    nodes becomes one component by as many comparisons as it has members. What stays in other components is then compared with
+    all rows of its key that aren't in its own, in blocks. So every link between components is found, and
+    no group is paired up within itself.
+    """
+    pairs, hot = key_runs(keys, False, most)
+    edges = written(verified(written(pruned(pairs, bitmap, threshold), "pairs")), "links")
+    if not hot.take(1):
+        return components(edges)
+    hubs = hot.groupBy("key").agg(F.min("node").alias("hub"))
+    star = hot.join(hubs, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    edges = edges.unionByName(written(verified(written(pruned(star, bitmap, threshold), "pairs")), "links"))
+    labels = components(edges)
+    placed = hot.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    placed = written(placed, "hot")
+    shares = placed.groupBy("key", "label").agg(F.count("*").alias("rows"))
+    main = shares.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.sum("rows").alias("all"), (F.sum("rows") - F.max("rows")).alias("few")).where("few > 0")
+    blocks = main.select("key", "main", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil(F.col("few") / block).cast("int").alias("few_blocks"))
+    rows = placed.join(blocks, "key").join(bitmap, "node")
+    columns = ("key", "one", "two", "outer", "node", "label", "n", *_BITMAP)
+    apart = rows.where("label <> main").withColumn("one", F.pmod(F.xxhash64("node"), "few_blocks").cast("int"))
+    apart = apart.withColumn("two", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("outer", F.lit(True)).select(*columns)
+    every = rows.withColumn("two", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
+    every = every.withColumn("one", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1))).withColumn("outer", F.lit(False)).select(*columns)
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, label, n, outer = (table.column(c).to_numpy() for c in ("node", "label", "n", "outer"))
+        bits = np.stack([table.column(c).to_numpy() for c in _BITMAP], axis=1)
+        inner = np.flatnonzero(~outer)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(outer):
+            j = inner[label[inner] != label[i]]
+            j = j[within_ring(bits[i : i + 1], bits[j], n[j] + n[i], threshold)] if len(j) else j
+            out_a.append(np.minimum(node[j], node[i]))
+            out_b.append(np.maximum(node[j], node[i]))
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    between = apart.unionByName(every).groupBy("key", "one", "two").applyInArrow(meet, "a bigint, b bigint").distinct()
+    return components(edges.unionByName(written(verified(written(between, "pairs")), "links")))
 
 
 def _hot_pairs(hot: DataFrame, bitmap: DataFrame, threshold: float, cross: bool, block: int) -> DataFrame:
