@@ -16,11 +16,12 @@ def every(step: Column | str, n: int) -> Column:
 def delivered_once(log: DataFrame) -> DataFrame:
     """(run, key, step, value, seq): of each run, key and step the row that arrived last; rows without a step stay apart by seq.
 
-    Late rows and rows delivered twice collapse. The largest struct wins in partial aggregates, without a sort.
+    Late rows and rows delivered twice collapse, in partial hash aggregates. A null seq counts as the first.
     """
     own = F.when(F.col("step").isNull(), F.col("seq"))
-    keyed = log.groupBy("run", "key", "step", own.alias("_own")).agg(F.max(F.struct("seq", "value")).alias("_last"))
-    return keyed.select("run", "key", "step", F.col("_last.value").alias("value"), F.col("_last.seq").alias("seq"))
+    at = F.coalesce("seq", F.lit(-(2**63)))
+    keyed = log.groupBy("run", "key", "step", own.alias("_own")).agg(F.max_by("value", at).alias("value"), F.max("seq").alias("seq"))
+    return keyed.drop("_own")
 
 
 def finite(value: Column | str) -> Column:

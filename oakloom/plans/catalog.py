@@ -206,7 +206,13 @@ def point_lookup(spark, folder):
 @query("""SELECT m.experiment_id, m.id, m.name, m.registered_at FROM experiments e JOIN registered_models m ON m.experiment_id = e.id""")
 def models_for_experiment(spark, folder):
     found = registry.children_of(table(spark, folder, "experiments"), table(spark, folder, "registered_models"), "experiment_id")
-    return found.select("experiment_id", "id", "name", "registered_at").orderBy(F.desc("registered_at"), F.desc("id"))
+    return found.select("experiment_id", "id", "name", "registered_at")
+
+
+@query("SELECT id, name, registered_at FROM registered_models WHERE experiment_id = 7 ORDER BY registered_at DESC, id DESC")
+def models_of_one_experiment(spark, folder):
+    models = registry.where_equal(table(spark, folder, "registered_models"), experiment_id=7)
+    return models.orderBy(F.desc("registered_at"), F.desc("id")).select("id", "name", "registered_at")
 
 
 @query("SELECT id, experiment_id, name FROM registered_models WHERE experiment_id IN (SELECT id FROM experiments)")
