@@ -65,9 +65,11 @@ _WIDE_GAP = re.compile(r"\S {3,}(?=\S)")
 _COMMA, _SEMICOLON = re.compile(r",(?!\s)"), re.compile(r";(?!\s)")
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|(?:[a-z]\d|\d[a-z]){1}.*(?:[a-z]\d|\d[a-z])|^[0-9a-f]{2}(?:h|ff)$|^\d?[a-f]\d?$")
 _ENDED = re.compile(r"[.!?:…。！？：][\"'”’)»\]*_`]*\s*$")
+_INNER_END = re.compile(r"[.;!?,]\s+\S+\s|[;,]$|[.!?]\s+[A-Z]")
+_SENTENCES = re.compile(r"[.!?。]\s*[A-Z\u4e00-\u9fff].*[.!?。]")
 _QUOTE = re.compile(r"^\s*(?:>\s?)+")
-#: Longest entry of a list without marks; distinct words that count as few when a line says them over and over.
-ENTRY_LENGTH, FEW = 45, 12
+#: Length from which a marked line of several sentences is running text, longest entry of a list without marks; distinct words that count as few when a line says them over and over.
+LONG, ENTRY_LENGTH, FEW = 100, 45, 12
 
 
 # Characters of broken encodings, and marks of sentences.
@@ -122,7 +124,7 @@ def cells(line: str) -> bool:
 
 
 class Lines(NamedTuple):
-    """What is known of each line: distributions, layout (-1: blank), size, (words, their letters, common words), symbols."""
+    """What is known of each line: distributions, layout (-1: blank), size, (words, their letters, common words, whether it ends in punctuation), symbols."""
 
     chars: np.ndarray
     said: np.ndarray
@@ -166,7 +168,7 @@ class LineProfiles:
         chars[:, GARBLED] *= 6
         said = np.zeros((rows, 5))
         layout, size = np.full(rows, -1), np.zeros(rows, np.int64)
-        counts = np.zeros((rows, 3), np.int64)
+        counts = np.zeros((rows, 4), np.int64)
         known, common, at = self.known, self.common, 0
         for text in texts:
             lines = text.split("\n")
@@ -175,7 +177,7 @@ class LineProfiles:
                 folded = [fold(x) for x in lines]
             before = ""  # open after a line that breaks off within a sentence
             for line, plain in zip(lines, folded):
-                bare = _QUOTE.sub("", line).strip() if line else ""
+                bare = _QUOTE.sub("", line).strip() if plain and not plain.isspace() else ""
                 if bare:
                     found = _RUN.findall(plain)
                     if found:
@@ -191,10 +193,12 @@ class LineProfiles:
                         again = len(found) - len(distinct)
                         row[AGAIN if len(distinct) <= min(FEW, max(4, len(found) / 4)) else FUNCTION] += again
                         said[at] = row
-                        counts[at] = (len(found), sum(map(len, found)), sum(map(common.__contains__, found)))
-                    shape = self._shape(line, bare, before)
+                        counts[at, :3] = (len(found), sum(map(len, found)), sum(map(common.__contains__, found)))
+                    tail = bool(found) and found[-1] in common
+                    shape = self._shape(line, bare, before, tail)
                     layout[at], size[at] = shape, len(line)
-                    before = "open" if shape == RUNNING and len(bare) > 30 and not _ENDED.search(bare) else ""
+                    counts[at, 3] = unicodedata.category(plain.rstrip()[-1])[0] == "P"
+                    before = "open" if shape == RUNNING and (len(bare) > 30 or tail or before) and not _ENDED.search(bare) else ""
                 else:
                     before = ""
                 at += 1
@@ -204,14 +208,15 @@ class LineProfiles:
         return Lines(chars, said, layout, size, counts, symbols)
 
     @staticmethod
-    def _shape(line: str, bare: str, before: str) -> int:
+    def _shape(line: str, bare: str, before: str, tail: bool) -> int:
         if cells(bare):
             return CELLS
-        if MARKER.match(line):
+        if MARKER.match(line) and not (len(bare) > LONG and _SENTENCES.search(bare)):
             return MARKED
         if " " not in bare and len(bare) > 24:
             return HEADLESS
-        if len(bare) <= ENTRY_LENGTH and before != "open" and not _ENDED.search(bare) and len(bare.split()) <= 9:
+        # a line that ends in a function word or holds the end of a sentence is part of running text
+        if len(bare) <= ENTRY_LENGTH and before != "open" and not tail and not _ENDED.search(bare) and not _INNER_END.search(bare) and len(bare.split()) <= 9:
             return ENTRY
         return RUNNING
 
@@ -265,8 +270,7 @@ def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
             total = share.sum(axis=1)
             n, letters, common = (np.bincount(owner, weights=lines.counts[:, k], minlength=len(texts)) for k in range(3))
             symbols = np.bincount(owner, weights=lines.symbols, minlength=len(texts))
-            ended = [unicodedata.category(x[-1])[0] == "P" for t in texts for y in t.split("\n") if (x := y.strip())]
-            ended_lines = np.bincount(owner[full], weights=ended, minlength=len(texts)) if full.any() else np.zeros(len(texts))
+            ended_lines = np.bincount(owner, weights=lines.counts[:, 3], minlength=len(texts))
             size, full_lines = np.array([len(t) for t in texts]), np.bincount(owner[full], minlength=len(texts))
 
             def over(a, b):

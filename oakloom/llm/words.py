@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 _RUN = re.compile(r"[^\W_]+")
+BATCH_BYTES = 4_000_000
 _FORMAT = regex.compile(r"\p{Cf}+")
 
 
@@ -66,6 +67,8 @@ def sequence_key(*texts: list[str]) -> tuple[int, int]:
 def map_batches(df: DataFrame, work: Callable, schema: str, per_task: bool = False) -> DataFrame:
     """``mapInArrow`` for a function from a batch to columns; ``schema`` is a DDL string.
 
+    Batches of more than ``BATCH_BYTES`` are cut, so that a task's memory follows the longest text and not the rows of a batch.
+
     With ``per_task``, ``work`` is called without arguments at the start of each task and returns that function.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -75,9 +78,10 @@ def map_batches(df: DataFrame, work: Callable, schema: str, per_task: bool = Fal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = work() if per_task else work
-        for batch in batches:
-            if batch.num_rows:
-                out = function(batch)
+        for whole in batches:
+            step = max(1, whole.num_rows * BATCH_BYTES // max(whole.nbytes, BATCH_BYTES))
+            for at in range(0, whole.num_rows, step):
+                out = function(whole.slice(at, step))
                 columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, out[f.name]) for f in arrow)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 

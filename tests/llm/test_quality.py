@@ -30,7 +30,7 @@ def test_forms_of_known_texts(spark, form):
 def test_statistics(spark):
     rows = [(1, "Ab cd, the x!\n\nplain line\n"), (2, None), (3, " \n​"), (4, "..."), (1, "a"), (5, (PROSE + " ") * 2000)]
     df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("words", "form", "lang", "word", "prose_share")})
-    got = {(r.doc_id, r.words): r for r in text_quality(df, spark.createDataFrame([("en", "the", 1), (None, None, None)], COMMON)).collect()}
+    got = {(r.doc_id, r.words): r for r in text_quality(df.coalesce(1), spark.createDataFrame([("en", "the", 1), (None, None, None)], COMMON)).collect()}
     assert len(got) == 6
     one = got[1, 6]
     assert one.mean_word_length == 17 / 6 and one.symbol_ratio == 2 / 26 and one.ended_lines == 0.5 and one.common_share == 1 / 6
