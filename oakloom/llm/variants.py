@@ -106,11 +106,7 @@ def format_variants(samples: DataFrame, raw: DataFrame | None = None) -> DataFra
 
 def collapsed(samples: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """(sample_id, copies): one row per class of format variants, under its smallest id, with its number of copies."""
-    records = all_records(samples, raw)
-    cheap = map_batches(records, _invariants, "sample_id bigint, cheap bigint").select("sample_id")
     linked = format_variants(samples, raw)
-    return (
-        cheap.join(linked, "sample_id", "left")
-        .where("first_id is null or first_id = sample_id")
-        .select("sample_id", F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"))
-    )
+    everyone = map_batches(all_records(samples, raw), _invariants, "sample_id bigint, cheap bigint").select("sample_id")
+    alone = everyone.join(linked.select("sample_id"), "sample_id", "left_anti").select("sample_id", F.lit(1).cast("bigint").alias("copies"))
+    return alone.unionByName(linked.select(F.col("first_id").alias("sample_id"), "copies").distinct())

@@ -55,6 +55,7 @@ def test_empty_tables_repeats_and_clashing_columns(spark):
     rows = [(1, "a " * 60_000, "b"), (1, "a " * 60_000, "b"), (2, "A " * 60_000, "B!")]
     df = spark.createDataFrame(rows, SAMPLES).withColumns({c: F.lit(0) for c in ("cheap", "key_a", "key_b", "first_id", "n", "line", "is_raw")})
     assert sorted((r.sample_id, r.first_id, r.copies) for r in format_variants(df).distinct().collect()) == [(1, 1, 3), (2, 1, 3)]
+    assert [tuple(r) for r in collapsed(df).collect()] == [(1, 3)]
 
 
 def test_a_third_of_the_rows_are_one_class(spark):
