@@ -369,6 +369,38 @@ def human_number(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", X.human_number(F.rint(F.col("o_totalprice") * scale).cast("bigint")).alias("label"))
 
 
+@query("""WITH p AS (SELECT e.id, j.key, j.value ->> '$' AS value FROM experiments e, json_each(e.training_config_snapshot) j)
+    SELECT id, key, try_cast(value AS DOUBLE) AS number, CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END AS text FROM p""")
+def param_log(spark, folder):
+    parameters = F.from_json("training_config_snapshot", "map<string,string>")
+    rows = table(spark, folder, "experiments").select("id", F.explode(parameters).alias("key", "value"))
+    number = F.expr("try_cast(value AS double)")
+    return rows.select("id", "key", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
+@query(f"""WITH {_ONCE_SQL}, b AS (SELECT run, step, seq, value, min(value) OVER (PARTITION BY run ORDER BY step NULLS FIRST, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM fin WHERE key = 'eval/loss')
+    SELECT run, step, 'best_model.pt' AS filename FROM b WHERE value < coalesce(best, 'inf'::DOUBLE) AND step IS NOT NULL
+    UNION ALL SELECT run, step, 'checkpoint_step_' || step || '.pt' FROM (SELECT DISTINCT run, step FROM metric_log WHERE step % 1000 = 0)""")
+def checkpoints_written(spark, folder):
+    log = table(spark, folder, "metric_log")
+    best = metrics.running_best(metrics.delivered_once(log.where("key = 'eval/loss'"))).where("improved and step is not null")
+    saved = log.where(metrics.every("step", 1000)).select("run", "step").distinct()
+    return best.select("run", "step", F.lit("best_model.pt").alias("filename")).unionByName(saved.withColumn("filename", F.concat(F.lit("checkpoint_step_"), "step", F.lit(".pt"))))
+
+
+@query("""WITH n AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier)
+    SELECT s_suppkey, s_name, r + (SELECT max(id) FROM experiments) AS id FROM n""")
+def inserted_ids(spark, folder):
+    rows = table(spark, folder, "supplier").select("s_suppkey", "s_name")
+    return registry.next_ids(rows, table(spark, folder, "experiments"), "s_suppkey")
+
+
+@query("SELECT q.range AS query, k.range AS key, k.range <= q.range AS attends FROM range(32) q, range(32) k")
+def causal_mask(spark, folder):
+    keys = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(31).cast("bigint"))).alias("key")
+    return spark.range(32).select(F.col("id").alias("query"), keys).withColumn("attends", N.attends(F.col("query"), F.col("key")))
+
+
 # Numerics
 
 
