@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 # The line ends of str.splitlines and the 29 white-space characters of str.strip, as Java classes.
 LINE_END = "\\r\\n|[\\n\\x0B\\f\\r\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
 SPACE = "[\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 # The prompt template of fine-tuning records.
 TEMPLATE_HEAD, TEMPLATE_TAIL = "### Instruction:\n", "\n\n### Response:\n"
 
@@ -25,8 +26,8 @@ def lines(text: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    """Without white space at both ends, by Unicode; ``trim`` would take spaces only."""
-    return F.regexp_replace(_col(text), f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends, by Unicode; ``trim`` by itself would take spaces only. Reads the ends alone, unlike a pattern."""
+    return F.btrim(_col(text), F.lit(SPACES))
 
 
 def within_band(text: Column | str, least: int = 10, most: int = 10_000) -> Column:
