@@ -180,6 +180,14 @@ def parsed_jsonl(spark, folder):
     return found.where("prompt is not null and response is not null").select("sample_id", "prompt", "response")
 
 
+@query(r"""SELECT sample_id, json_extract_string(line, '$.prompt') AS prompt, json_extract_string(line, '$.response') AS response FROM
+      (SELECT sample_id, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' AND NOT regexp_matches(line, ',\s*\}\s*$') THEN line END AS line FROM sft_raw)
+    WHERE json_extract_string(line, '$.prompt') IS NOT NULL AND json_extract_string(line, '$.response') IS NOT NULL""")
+def parsed_jsonl_all(spark, folder):
+    """All lines; parsed_jsonl and its SQL leave out those with an escape by code."""
+    return parsed_records(table(spark, folder, "sft_raw")).where("prompt is not null and response is not null").select("sample_id", "prompt", "response")
+
+
 # Registry
 
 
