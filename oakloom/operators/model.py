@@ -110,17 +110,18 @@ def sequence_losses(samples: DataFrame, key: str, weights: dict[str, np.ndarray]
     return samples.select(key, "input_ids", "labels").mapInPandas(run, f"{key} bigint, position int, loss double")
 
 
-def last_logits(samples: DataFrame, key: str, tokens: str, weights: dict[str, np.ndarray], config: ModelConfig) -> DataFrame:
+def last_logits(samples: DataFrame, key: str | list[str], tokens: str, weights: dict[str, np.ndarray], config: ModelConfig) -> DataFrame:
     """(key, logits): logits after the last token of each row; only the last max_seq_len tokens are seen; null for rows without tokens."""
+    keys = [key] if isinstance(key, str) else key
     sent = samples.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         for batch in batches:
-            out = batch[[key]].copy()
+            out = batch[keys].copy()
             out["logits"] = [forward(t[-config.max_seq_len :], sent.value, config)[-1].tolist() if len(t := _checked(x, config)) else None for x in batch[tokens]]
             yield out
 
-    return samples.select(key, tokens).mapInPandas(run, f"{key} bigint, logits array<double>")
+    return samples.select(*keys, tokens).mapInPandas(run, ", ".join(f"{k} bigint" for k in keys) + ", logits array<double>")
 
 
 def generated(

@@ -67,6 +67,15 @@ def document_windows(tokens: Column | str, length: int, stride: int | None = Non
     return F.when(F.size(tokens) > length, cut).otherwise(F.array().cast("array<array<int>>"))
 
 
+def covering_windows(tokens: Column | str, length: int) -> Column:
+    """Array of windows of length + 1 tokens, the last one shorter, each from the last token of the one before: every pair
+    of neighbours stands in one of them. Empty below two tokens."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    starts = F.sequence(F.lit(0), F.size(tokens) - 2, F.lit(length))
+    cut = F.transform(starts, lambda i: F.slice(tokens, i + 1, F.lit(length + 1)))
+    return F.when(F.size(tokens) > 1, cut).otherwise(F.array().cast("array<array<int>>"))
+
+
 def next_token_pair(window: Column | str) -> tuple[Column, Column]:
     """(input_ids, labels): a window without its last and without its first token."""
     window = F.col(window) if isinstance(window, str) else window

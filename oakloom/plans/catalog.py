@@ -475,16 +475,21 @@ def clip_and_gate(spark, folder):
 _TINY = model.ModelConfig(vocab_size=256, n_embed=32, n_layer=2, n_head=4, max_seq_len=48)
 
 
+def _passages(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = F.transform(T.code_points("passage"), lambda c: F.pmod(c, F.lit(_TINY.vocab_size)))
+    return table(spark, folder, "eval_items").where("length(passage) > 0").select("item_id", tokens.alias("tokens"))
+
+
 def _model_samples(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "eval_items").where("length(passage) > 1")
-    tokens = F.transform(T.code_points("passage", 48), lambda c: F.pmod(c, F.lit(256)))
+    """Windows that cover each passage: every token but its last is read, every one but its first a label."""
+    each = _passages(spark, folder).select("item_id", F.posexplode(windows.covering_windows("tokens", _TINY.max_seq_len)).alias("k", "w"))
     ids, labels = windows.next_token_pair("w")
-    return s.select("item_id", tokens.alias("w")).select("item_id", ids.alias("input_ids"), labels.alias("labels"))
+    return each.select("item_id", F.col("k").cast("bigint").alias("k"), ids.alias("input_ids"), labels.alias("labels"))
 
 
 @query()
 def forward_logits(spark, folder):
-    return model.last_logits(_model_samples(spark, folder), "item_id", "input_ids", model.initial_weights(_TINY), _TINY)
+    return model.last_logits(_model_samples(spark, folder), ["item_id", "k"], "input_ids", model.initial_weights(_TINY), _TINY)
 
 
 @query()
@@ -495,5 +500,4 @@ def model_eval_loss(spark, folder):
 
 @query()
 def greedy_generate(spark, folder):
-    prompts = _model_samples(spark, folder).select("item_id", F.slice("input_ids", 1, 16).alias("tokens"))
-    return model.generated(prompts, "item_id", "tokens", model.initial_weights(_TINY), _TINY, 8)
+    return model.generated(_passages(spark, folder), "item_id", "tokens", model.initial_weights(_TINY), _TINY, 8)
