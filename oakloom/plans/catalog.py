@@ -251,6 +251,19 @@ def metrics_merge(spark, folder):
     return registry.merged_metrics(base, patches).select("id", "key", metrics.finite("value").alias("value"))
 
 
+@query("""WITH b AS (SELECT e.id, j.key, try_cast(j.value AS DOUBLE) AS value, -1 AS seq FROM experiments e, json_each(e.metrics) j),
+    first AS (SELECT name, min(id) AS id FROM experiments GROUP BY name),
+    p AS (SELECT f.id, m.key, m.value, m.seq FROM metric_log m JOIN first f ON f.name = m.run),
+    a AS (SELECT *, row_number() OVER (PARTITION BY id, key ORDER BY seq DESC) AS r FROM (SELECT * FROM b UNION ALL SELECT * FROM p))
+    SELECT id, key, CASE WHEN isnan(value) OR isinf(value) THEN NULL ELSE value END AS value FROM a WHERE r = 1""")
+def metrics_merge_all(spark, folder):
+    """All keys of the log; metrics_merge and its SQL take those of eval/ only."""
+    experiments = table(spark, folder, "experiments")
+    base = registry.json_entries(experiments, "id", "metrics").withColumnRenamed("name", "key")
+    first = experiments.groupBy("name").agg(F.min("id").alias("id")).withColumnRenamed("name", "run")
+    return registry.merged_metrics(base, table(spark, folder, "metric_log").join(first, "run")).select("id", "key", metrics.finite("value").alias("value"))
+
+
 def _versions(spark: SparkSession, folder: str) -> DataFrame:
     models = table(spark, folder, "registered_models")
     return models.select("id", "name", F.get_json_object("parameters", "$.version").alias("version"), F.get_json_object("parameters", "$.stage").alias("stage"))

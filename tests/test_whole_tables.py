@@ -44,3 +44,11 @@ def test_model_queries_read_whole_passages(spark, tmp_path):
     made = {r.item_id: list(r.tokens) for r in run("greedy_generate")}
     assert made.keys() == tokens.keys() and all(made[k][:-8] == t for k, t in tokens.items())
     assert all(made[k][len(t)] == model.forward(np.array(t[-size:]), weights, _TINY)[-1].argmax() for k, t in tokens.items())
+
+
+def test_all_keys_are_merged(spark, tmp_path):
+    spark.createDataFrame([(1, "a", '{"train/loss": 3.0, "eval/loss": 2.0}'), (2, "a", None), (3, "b", "{}")], "id bigint, name string, metrics string").write.parquet(f"{tmp_path}/experiments.parquet")
+    log = [("a", "train/loss", 1.0, 1), ("a", "train/loss", None, 2), ("a", "eval/loss", 0.5, 3), ("b", "train/lr", 0.1, 4), ("b", "train/lr", 0.2, 5), ("c", "train/lr", 9.0, 6)]
+    spark.createDataFrame(log, "run string, key string, value double, seq bigint").write.parquet(f"{tmp_path}/metric_log.parquet")
+    found = {(r.id, r.key): r.value for r in __spark_entry__.queries()["metrics_merge_all"](spark, str(tmp_path)).collect()}
+    assert found == {(1, "train/loss"): None, (1, "eval/loss"): 0.5, (3, "train/lr"): 0.2}
