@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oakloom.llm.storage import written
+from oakloom.llm.suffixes import mixed
 from oakloom.llm.words import map_batches
 
 SEGMENTS = 8
@@ -28,12 +29,6 @@ _BITMAP = ("s0", "s1", "s2", "s3")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    """One 64-bit hash of two, by column; the order matters."""
-    x = (a.astype(np.uint64) ^ (np.asarray(b).astype(np.uint64) * _MIX + (np.asarray(b).astype(np.uint64) >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-
-
 def bitmaps(flat: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
     """(rows, 4) of int64: the bitmaps of sets given by their words' ids and owners."""
     bits = ((flat.astype(np.uint64) * _MIX) >> np.uint64(56)).astype(np.int64)
@@ -262,11 +257,9 @@ def is_frequent(flat: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[at] == flat
 
 
-def list_parts(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column in one array and the row of each."""
-    lists = batch.column(column)
-    sizes = np.diff(lists.offsets.to_numpy())
-    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), sizes)
+def few_rows(rows: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The rows, marked to be sent to all tasks where they are counted to be at most ``most``; beyond, an ordinary join takes its course."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

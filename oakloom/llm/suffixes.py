@@ -1,9 +1,88 @@
-"""Suffix arrays over words: spans that two texts share."""
+"""Suffix arrays over words: a sparse one over partitioned texts, whose intervals propose pairs, and one over pairs of texts for their shared spans.
+
+The sparse array. Texts are sequences of word ids. A suffix is kept where the hash of its first three words is the
+smallest among three neighbours in a row, and everywhere in texts of at most ``SHORT`` words; so every span of
+five words that two texts share starts a kept suffix within itself, at the same place in both. Suffixes are ordered by the hashes of
+their first three words, then of the next four, one after the other, and stand in buckets, which are ranges of that order.
+An interval is a run of suffixes with a common prefix of 3 to 7 words.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+WIDTH, SHORT = 3, 12
+#: A suffix in one number: 36 bits of its first three words, then 7 bits for each of four more.
+NEXT, BITS = 4, 7
+
+
+def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """One 64-bit hash of two, by column; the order matters."""
+    b = np.asarray(b).astype(np.uint64)
+    x = (a.astype(np.uint64) ^ (b * np.uint64(0x9E3779B97F4A7C15) + (b >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+
+
+def kept_suffixes(flat: np.ndarray, sizes: np.ndarray, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, prefix, order) of the kept suffixes of texts whose words stand one after the other in ``flat``.
+
+    prefix: hash of the first three words, with the text's ``salt``; order: the number by which suffixes of one bucket are sorted.
+    """
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(flat))
+    padded = np.concatenate([flat, np.zeros(8, flat.dtype)])
+    n = len(flat)
+    first = flat if salt is None else mixed(flat, salt[owner]).view(np.int64)
+    gram = mixed(mixed(first, padded[1 : n + 1]), padded[2 : n + 2])
+    whole = left >= WIDTH
+    worst = np.uint64(0xFFFFFFFFFFFFFFFF)
+    value = np.where(whole, gram, worst)
+    far = np.concatenate([[worst] * 2, value, [worst] * 2])
+    # positions beyond a text's ends count as larger, so that every window of a text has its smallest kept
+    own = np.concatenate([[-1] * 2, owner, [-1] * 2])
+    near = [np.where(own[2 + k : n + 2 + k] == owner, far[2 + k : n + 2 + k], worst) for k in (-2, -1, 1, 2)]
+    low = (value <= near[0]) & (value <= near[1]) | (value <= near[1]) & (value <= near[2]) | (value <= near[2]) & (value <= near[3])
+    at = np.flatnonzero(whole & (low | (sizes[owner] <= SHORT)))
+    order = (gram[at] & np.uint64((1 << 36) - 1)) << np.uint64(NEXT * BITS)
+    for k in range(NEXT):
+        inside = left[at] > WIDTH + k
+        word = np.where(inside, (padded[at + WIDTH + k].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS), 0)
+        order |= word.astype(np.uint64) << np.uint64((NEXT - 1 - k) * BITS)
+    return owner[at], gram[at], order
+
+
+def cross_intervals(order: np.ndarray, side: np.ndarray, most: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, hot) of sorted suffixes: pairs of suffixes of side 0 and side 1 in one interval, and those of intervals too large to be paired.
+
+    An interval of a prefix of 3 + k words is paired up where it holds at most ``most[k]`` pairs; larger ones are refined by a
+    further word. What is larger at full depth is given out as ``hot``.
+    """
+    here = np.arange(len(order))
+    lefts, rights = [here[:0]], [here[:0]]
+    for depth, limit in enumerate(most):
+        if not len(here):
+            break
+        value = order[here] >> np.uint64((NEXT - depth) * BITS)
+        start = np.r_[True, value[1:] != value[:-1]]
+        run = np.cumsum(start) - 1
+        ones = np.bincount(run, weights=side[here]).astype(np.int64)
+        zeros = np.bincount(run) - ones
+        pairs = ones * zeros
+        fits = (pairs > 0) & (pairs <= limit)
+        use = fits[run]
+        a, b = here[use & (side[here] == 0)], here[use & (side[here] == 1)]
+        run_a, run_b = run[use & (side[here] == 0)], run[use & (side[here] == 1)]
+        begin = np.searchsorted(run_a, run_b)
+        times = zeros[run_b]
+        total = int(times.sum())
+        if total:
+            within = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
+            lefts.append(a[np.repeat(begin, times) + within])
+            rights.append(np.repeat(b, times))
+        here = here[(pairs > limit)[run]]
+    return np.concatenate(lefts), np.concatenate(rights), here
+
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
     """Dense ranks of rows of keys, the first key foremost."""
