@@ -1,4 +1,4 @@
-"""Candidate pairs of similar word sets: shared machinery of problems 1 and 3.
+"""Similar word sets: bitmaps, large keys, components; shared machinery of problems 1 and 3.
 
 A node is a class of texts with the same words; its id is a 64-bit hash. Keys that two similar nodes share
 bring them together; the pigeonring filter then drops pairs whose bitmaps prove that they differ too much.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oakloom.llm.storage import written
+from oakloom.llm.storage import dropped, written
 from oakloom.llm.suffixes import mixed
 from oakloom.llm.words import map_batches
 
@@ -38,18 +38,23 @@ def bitmaps(flat: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
 
 
 def within_ring(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of bitmaps have a chain within the budgets. a, b: (pairs, 4) int64; sizes: m + n of each pair."""
+    """Which pairs of bitmaps have a chain within the budgets. a, b: (pairs, 4) int64; sizes: m + n of each pair.
+
+    Chains grow by a segment at a time from every start; a pair is dropped once none of its chains is left. The chain of
+    all segments is the full Hamming check.
+    """
     most = sizes * ((1 - threshold) / (1 + threshold))
-    differ = np.bitwise_count(np.ascontiguousarray(a ^ b).view(np.uint32))
-    alive = differ.sum(axis=1) <= most + 1e-6  # the chain around the whole ring; the others are tested where it holds
-    at = np.flatnonzero(alive)
-    ring = np.concatenate([differ[at], differ[at, :-1]], axis=1) - (most[at] / SEGMENTS)[:, None]
-    total = np.concatenate([np.zeros((len(ring), 1)), np.cumsum(ring, axis=1)], axis=1)
-    chain = np.zeros(len(ring), bool)
-    for start in range(SEGMENTS):
-        chain |= (total[:, start + 1 : start + SEGMENTS + 1] - total[:, start : start + 1]).max(axis=1) <= 1e-6
-    alive[at] = chain
-    return alive
+    at = np.arange(len(most))
+    total, alive = np.zeros((len(at), SEGMENTS)), np.ones((len(at), SEGMENTS), bool)
+    differ = np.bitwise_count(np.ascontiguousarray(a ^ b).view(np.uint32)).astype(np.float64)
+    for length in range(1, SEGMENTS + 1):
+        total += np.roll(differ, 1 - length, axis=1)
+        alive &= total <= (most[at] * (length / SEGMENTS))[:, None] + 1e-6
+        left = alive.any(axis=1)
+        at, total, alive, differ = at[left], total[left], alive[left], differ[left]
+    out = np.zeros(len(most), bool)
+    out[at] = True
+    return out
 
 
 def _run_pairs(key: np.ndarray, node: np.ndarray, side: np.ndarray, cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,7 +154,7 @@ def pruned(pairs: DataFrame, bitmap: DataFrame, threshold: float) -> DataFrame:
         keep = within_ring(x, y, batch.column("na").to_numpy() + batch.column("nb").to_numpy(), threshold)
         return {"a": batch.column("a").to_numpy()[keep], "b": batch.column("b").to_numpy()[keep]}
 
-    return map_batches(pairs.distinct().join(left, "a").join(right, "b"), prune, "a bigint, b bigint")
+    return map_batches(pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b"), prune, "a bigint, b bigint")
 
 
 def candidate_pairs(keys: DataFrame, bitmap: DataFrame, threshold: float, cross: bool, most: int = 256, block: int = 1024) -> DataFrame:
@@ -164,8 +169,8 @@ def candidate_pairs(keys: DataFrame, bitmap: DataFrame, threshold: float, cross:
     return pruned(pairs, bitmap, threshold)
 
 
-def linked_components(keys: DataFrame, bitmap: DataFrame, threshold: float, verified, most: int = 512, block: int = 1024) -> DataFrame:
-    """(node, label) of the components of nodes that share a key, pass the filter and are ``verified``.
+def linked_components(keys: DataFrame, bitmap: DataFrame, threshold: float, verified, known: DataFrame, most: int = 512, block: int = 1024) -> DataFrame:
+    """(node, label) of the components of nodes that share a key, pass the filter and are ``verified``, or are linked by the ``known`` edges (a, b).
 
     ``verified`` maps a frame of pairs (a, b) to those that are links. Keys with more than ``most`` rows give no
     pairs at first: their rows are compared with one of them, the hub, so that a large group of alike
@@ -174,7 +179,7 @@ def linked_components(keys: DataFrame, bitmap: DataFrame, threshold: float, veri
     no group is paired up within itself.
     """
     pairs, hot = key_runs(keys, False, most)
-    edges = written(verified(written(pruned(pairs, bitmap, threshold), "pairs")), "links")
+    edges = known.unionByName(written(verified(written(pruned(pairs, bitmap, threshold), "pairs")), "links"))
     if not hot.take(1):
         return components(edges)
     hubs = hot.groupBy("key").agg(F.min("node").alias("hub"))
@@ -238,25 +243,6 @@ def _hot_pairs(hot: DataFrame, bitmap: DataFrame, threshold: float, cross: bool,
     return spread.groupBy("key", "one", "two").applyInArrow(meet, "a bigint, b bigint")
 
 
-def frequent_words(token_lists: DataFrame, column: str, share: float, least: int) -> np.ndarray:
-    """Ids of the words that stand in more than max(least, share * rows) rows, sorted.
-
-    Their number is at most the mean number of words of a row over ``share``, at any number of rows; so they
-    may be sent to all tasks.
-    """
-    rows = token_lists.count()
-    word = F.explode(column).alias("word")
-    often = token_lists.select(word).groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") > max(least, share * rows))
-    return np.sort(np.array([r.word for r in often.select("word").toLocalIterator()], np.int64))
-
-
-def is_frequent(flat: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.zeros(len(flat), bool)
-    at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-    return frequent[at] == flat
-
-
 def few_rows(rows: DataFrame, most: int = 2_000_000) -> DataFrame:
     """The rows, marked to be sent to all tasks where they are counted to be at most ``most``; beyond, an ordinary join takes its course."""
     return F.broadcast(rows) if rows.count() <= most else rows
@@ -270,15 +256,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     lineage stays short. Nothing is collected but the number of changed labels.
     """
     both = written(edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    last = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    labels = last
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        better = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("lower"))
+        near = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
+        better = labels.join(near.hint("merge"), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("lower"))
         own = labels.select(F.col("node").alias("lower"), F.col("label").alias("further"))
-        step = better.join(own, "lower", "left").select("node", F.least("lower", F.coalesce("further", "lower")).alias("next"), "label")
+        step = better.join(own.hint("merge"), "lower", "left").select("node", F.least("lower", F.coalesce("further", "lower")).alias("next"), "label")
         done = written(step, "labels")
         changed = done.where("next <> label").limit(1).count()
         labels = done.select("node", F.col("next").alias("label"))
+        dropped(last)
+        last = done
         if not changed:
+            dropped(both)
             return labels
     raise RuntimeError(f"components not found in {rounds} rounds")

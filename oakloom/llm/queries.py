@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oakloom.llm.defects import response_defects
 from oakloom.llm.leaks import leaked_items
-from oakloom.llm.neardups import near_duplicates, pairs_in_groups
+from oakloom.llm.neardups import near_duplicates, pairs_in_groups, representative_pairs
 from oakloom.llm.overlap import cross_split_overlaps, overlap_report
 from oakloom.llm.packing import pack_documents, packing_report
 from oakloom.llm.quality import not_prose, text_quality
@@ -45,6 +45,10 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "sft_samples")).select("sample_id", "group_id")
 
 
+def p3_representatives(spark: SparkSession, folder: str) -> DataFrame:
+    return representative_pairs(near_duplicates(table(spark, folder, "sft_samples")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     cut = split_responses(table(spark, folder, "sft_samples"), table(spark, folder, "data_configs"), with_text=False)
     return cut.where("piece_no = 1").select("sample_id")
@@ -85,7 +89,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_sequences": p6_sequences, "p6_report": p6_report, "p7_found": p7_found, "p8_statistics": p8_statistics, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p3_representatives": p3_representatives, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_sequences": p6_sequences, "p6_report": p6_report, "p7_found": p7_found, "p8_statistics": p8_statistics, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

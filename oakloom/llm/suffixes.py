@@ -23,6 +23,13 @@ def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
 
 
+def often(keys: np.ndarray, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that stand in more than the share of all, with their counts."""
+    found, times = np.unique(keys, return_counts=True)
+    kept = times > max(least, share * len(keys))
+    return found[kept], times[kept]
+
+
 def kept_suffixes(flat: np.ndarray, sizes: np.ndarray, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, prefix, order) of the kept suffixes of texts whose words stand one after the other in ``flat``.
 
