@@ -3,7 +3,7 @@
 A node is a class of texts with the same words; its id is a 64-bit hash. Keys that two similar nodes share
 bring them together; the pigeonring filter then drops pairs whose bitmaps prove that they differ too much.
 
-Bitmap: each distinct word sets one of 32 bits in one of 8 segments on a ring. A bit that differs needs at
+Bitmap: each distinct word sets one of 128 bits in one of 8 segments on a ring. A bit that differs needs at
 least one word that only one side has, so the number of differing bits is at most the symmetric difference
 of the word sets, in each segment and in all. Sets of sizes m and n whose similarity is t or more differ in
 at most d = (m + n)(1 - t)/(1 + t) words. Pigeonring: then there is a segment from which, for every l, the
@@ -21,24 +21,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oakloom.llm.storage import dropped, written
-from oakloom.llm.suffixes import mixed
 from oakloom.llm.words import map_batches
 
 SEGMENTS = 8
-_BITMAP = ("s0", "s1", "s2", "s3")
+WIDTH = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bitmaps(flat: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, 4) of int64: the bitmaps of sets given by their words' ids and owners."""
-    bits = ((flat.astype(np.uint64) * _MIX) >> np.uint64(56)).astype(np.int64)
-    grid = np.zeros((rows, 256), bool)
-    grid[owner, bits] = True
-    return np.packbits(grid, axis=1, bitorder="little").view("<i8")
+def bitmaps(flat: np.ndarray, owner: np.ndarray, rows: int, width: int = WIDTH) -> np.ndarray:
+    """(rows, width / 64) of uint64: the bitmaps of sets given by their words' ids and owners."""
+    at = ((flat.astype(np.uint64) * _MIX) >> np.uint64(65 - width.bit_length())).astype(np.int64)
+    out = np.zeros((rows, width // 64), np.uint64)
+    np.bitwise_or.at(out, (owner, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def bit_column(bits: np.ndarray) -> pa.Array:
+    """Bitmaps as a column of binary values."""
+    data = np.ascontiguousarray(bits)
+    ends = (np.arange(len(data) + 1) * data.shape[1] * 8).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def bit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The bitmaps of a column of binary values."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, WIDTH // 64), np.uint64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64).reshape(len(column), -1)
+
+
+def within_bits(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sizes and bitmaps leave the similarity possible; texts of 65535 words or more are let through."""
+    m = n.astype(np.int64)
+    total = m[i] + m[j]
+    ok = np.minimum(m[i], m[j]) >= threshold * np.maximum(m[i], m[j]) - 1e-6
+    ok |= np.maximum(m[i], m[j]) == 65535
+    at = np.flatnonzero(ok)
+    differ = np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1)
+    ok[at] = differ <= total[at] * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return ok | (np.maximum(m[i], m[j]) == 65535)
 
 
 def within_ring(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of bitmaps have a chain within the budgets. a, b: (pairs, 4) int64; sizes: m + n of each pair.
+    """Which pairs of bitmaps have a chain within the budgets. a, b: rows of bitmaps; sizes: m + n of each pair.
 
     Chains grow by a segment at a time from every start; a pair is dropped once none of its chains is left. The chain of
     all segments is the full Hamming check.
@@ -46,7 +74,7 @@ def within_ring(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, threshold: floa
     most = sizes * ((1 - threshold) / (1 + threshold))
     at = np.arange(len(most))
     total, alive = np.zeros((len(at), SEGMENTS)), np.ones((len(at), SEGMENTS), bool)
-    differ = np.bitwise_count(np.ascontiguousarray(a ^ b).view(np.uint32)).astype(np.float64)
+    differ = np.bitwise_count(a ^ b).reshape(len(at), SEGMENTS, -1).sum(axis=2).astype(np.float64)
     for length in range(1, SEGMENTS + 1):
         total += np.roll(differ, 1 - length, axis=1)
         alive &= total <= (most[at] * (length / SEGMENTS))[:, None] + 1e-6
@@ -145,13 +173,12 @@ def key_runs(keys: DataFrame, cross: bool, most: int) -> tuple[DataFrame, DataFr
 
 
 def pruned(pairs: DataFrame, bitmap: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), each once: the pairs that pass the pigeonring filter. bitmap: (node, n, s0..s3), one row per node."""
-    left = bitmap.select(F.col("node").alias("a"), F.col("n").alias("na"), *(F.col(c).alias("a" + c) for c in _BITMAP))
-    right = bitmap.select(F.col("node").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias("b" + c) for c in _BITMAP))
+    """(a, b), each once: the pairs that pass the pigeonring filter. bitmap: (node, n, bits), one row per node."""
+    left = bitmap.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("abits"))
+    right = bitmap.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bbits"))
 
     def prune(batch):
-        x, y = (np.stack([batch.column(p + c).to_numpy() for c in _BITMAP], axis=1) for p in "ab")
-        keep = within_ring(x, y, batch.column("na").to_numpy() + batch.column("nb").to_numpy(), threshold)
+        keep = within_ring(bit_rows(batch.column("abits")), bit_rows(batch.column("bbits")), batch.column("na").to_numpy() + batch.column("nb").to_numpy(), threshold)
         return {"a": batch.column("a").to_numpy()[keep], "b": batch.column("b").to_numpy()[keep]}
 
     return map_batches(pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b"), prune, "a bigint, b bigint")
@@ -192,7 +219,7 @@ def linked_components(keys: DataFrame, bitmap: DataFrame, threshold: float, veri
     main = shares.groupBy("key").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.sum("rows").alias("all"), (F.sum("rows") - F.max("rows")).alias("few")).where("few > 0")
     blocks = main.select("key", "main", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil(F.col("few") / block).cast("int").alias("few_blocks"))
     rows = placed.join(blocks, "key").join(bitmap, "node")
-    columns = ("key", "one", "two", "outer", "node", "label", "n", *_BITMAP)
+    columns = ("key", "one", "two", "outer", "node", "label", "n", "bits")
     apart = rows.where("label <> main").withColumn("one", F.pmod(F.xxhash64("node"), "few_blocks").cast("int"))
     apart = apart.withColumn("two", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("outer", F.lit(True)).select(*columns)
     every = rows.withColumn("two", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
@@ -200,12 +227,12 @@ def linked_components(keys: DataFrame, bitmap: DataFrame, threshold: float, veri
 
     def meet(table: pa.Table) -> pa.Table:
         node, label, n, outer = (table.column(c).to_numpy() for c in ("node", "label", "n", "outer"))
-        bits = np.stack([table.column(c).to_numpy() for c in _BITMAP], axis=1)
+        bits = bit_rows(table.column("bits"))
         inner = np.flatnonzero(~outer)
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(outer):
             j = inner[label[inner] != label[i]]
-            j = j[within_ring(bits[i : i + 1], bits[j], n[j] + n[i], threshold)] if len(j) else j
+            j = j[within_ring(bits[[i]], bits[j], n[j] + n[i], threshold)] if len(j) else j
             out_a.append(np.minimum(node[j], node[i]))
             out_b.append(np.maximum(node[j], node[i]))
         return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
@@ -219,12 +246,12 @@ def _hot_pairs(hot: DataFrame, bitmap: DataFrame, threshold: float, cross: bool,
     placed = hot.join(blocks, "key").join(bitmap, "node").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = placed.withColumn("other", other).select(
-        "key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "node", "side", "n", *_BITMAP
+        "key", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "node", "side", "n", "bits"
     )
 
     def meet(table: pa.Table) -> pa.Table:
         node, side, mine, n = (table.column(c).to_numpy() for c in ("node", "side", "mine", "n"))
-        bits = np.stack([table.column(c).to_numpy() for c in _BITMAP], axis=1)
+        bits = bit_rows(table.column("bits"))
         same = table.column("one")[0].as_py() == table.column("two")[0].as_py()
         out_a, out_b = [], []
         for i in range(len(node)):
@@ -233,7 +260,7 @@ def _hot_pairs(hot: DataFrame, bitmap: DataFrame, threshold: float, cross: bool,
             j = np.arange(i + 1, len(node)) if same else np.flatnonzero(mine != mine[i])
             j = j[(node[j] != node[i]) & ((side[j] != side[i]) if cross else True)]
             if len(j):
-                j = j[within_ring(bits[i : i + 1], bits[j], n[j] + n[i], threshold)]
+                j = j[within_ring(bits[[i]], bits[j], n[j] + n[i], threshold)]
                 swap = (side[j] < side[i]) if cross else (node[j] < node[i])
                 out_a.append(np.where(swap, node[j], node[i]))
                 out_b.append(np.where(swap, node[i], node[j]))
