@@ -1,20 +1,23 @@
 """Problem 8: statistics of each text and its form: prose, list, table or junk.
 
-Each line is described by three distributions: its characters over classes, its words over classes (function
-words, numbers, words said before, others) and its layout. Their Jensen-Shannon divergences from the profiles
-of prose in six languages and of kinds of lists, tables and junk are added up; the line has the form of the
-nearest profile. The profiles are the same distributions of the sample texts below. A text has the form that
-makes up more than half of its characters.
+Each line that isn't blank is described by three distributions: its characters over classes, its words over classes (function
+words, numbers, words said before, others), and what stands between its words and at its ends over classes of joints (a blank, a
+soft mark, a full stop, a cell border, a line's end with and without a mark, a marker at its start). The last two take in the neighbouring lines with falling
+weight. Their Jensen-Shannon divergences from the profiles of prose in six languages and of kinds of lists, tables and junk are added up; the
+line has the form of the nearest profile. The profiles are the same distributions of the sample texts below, of prose once as it stands and once wrapped into short
+lines. A text has the form that makes up more than half of its characters.
 """
 
 from __future__ import annotations
 
 import re
+import textwrap
 import unicodedata
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +30,11 @@ FORMS = ("prose", "list", "table", "junk")
 VOWEL, CONSONANT, UPPER, OTHER_LETTER, DIGIT, SPACE, MARK, CELL, SYMBOL, GARBLED, RUN = range(11)
 #: Words: the classes of the word distribution. RANDOM words have long runs of consonants or change case or kind inside.
 FUNCTION, NUMBER, AGAIN, RANDOM, CONTENT = range(5)
-#: Layout: what a line looks like beside its neighbours.
-RUNNING, ENTRY, MARKED, CELLS, HEADLESS = range(5)
+#: Joints: what stands between two words, after the last and before the first.
+BLANK, SOFT, STOP, CELL_BORDER, LINE_END, MARKER, SENTENCE_END = range(7)
+JOINTS = 7
+#: Bits of the characters between words.
+_BORDER, _SPACE, _SOFT, _STOP, _SIGN = 1, 2, 4, 8, 16
 
 # Sample texts of the profiles, (form, text). Each line is a sample; the profile is their mean.
 SAMPLES = (
@@ -57,24 +63,16 @@ SAMPLES = (
     ("junk", "LÃ©âa bouÃ©âilloire de lÃ©âa vieÃ©âille gaÃ©âre avÃ©âait Ã©tÃ© ouÃ©âbliÃ©e pÃ©âar\næ\x88\x91ä»¬ä»\x8eä¸\xad Ã¼ber dÃ©âie TÃ¼r wuÃ©ârde"),
 )
 
-MARKER = re.compile(r"\s*(?:[-*•+→–·▪◦‣]|\(?\d{1,4}[.)]|\(?[A-Za-z][.)]|\[[ xX]?\])\s+(?=\S)")
-_KEYED = re.compile(r"(?:^|\s)[A-Za-z_]\w*=")
-_PIPES = re.compile(r"\s\|\s|^\||\|$")
-_GAPS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
-_WIDE_GAP = re.compile(r"\S {3,}(?=\S)")
-_COMMA, _SEMICOLON = re.compile(r",(?!\s)"), re.compile(r";(?!\s)")
+_BLANK = regex.compile(r"[\s\p{Cf}]*")
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|(?:[a-z]\d|\d[a-z]){1}.*(?:[a-z]\d|\d[a-z])|^[0-9a-f]{2}(?:h|ff)$|^\d?[a-f]\d?$")
-_ENDED = re.compile(r"[.!?:…。！？：][\"'”’)»\]*_`]*\s*$")
-_INNER_END = re.compile(r"[.;!?,]\s+\S+\s|[;,]$|[.!?]\s+[A-Z]")
-_SENTENCES = re.compile(r"[.!?。]\s*[A-Z\u4e00-\u9fff].*[.!?。]")
-_QUOTE = re.compile(r"^\s*(?:>\s?)+")
-#: Length from which a marked line of several sentences is running text, longest entry of a list without marks; distinct words that count as few when a line says them over and over.
-LONG, ENTRY_LENGTH, FEW = 100, 45, 12
+#: Distinct words that count as few when a line says them over and over; weight of a neighbouring line; columns to which prose is wrapped; lines described at once.
+FEW, NEIGHBOUR, COLUMNS, LINES = 12, 0.5, 56, 20_000
+WEIGHTS = {"chars": 1.5, "said": 1.0, "joints": 1.0}
 
 
-# Characters of broken encodings, and marks of sentences.
-_BROKEN = "\ufffdÃÂ©â¤¼¶»½□▪▒"
+# Marks of sentences, and what the bytes 80 to 9F stand for in the usual code page.
 _MARKS = ".,;:!?'\"()-–—/%“”‘’«»…。，；：、！？（）"
+_CODE_PAGE = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 
 def character_classes() -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +91,7 @@ def character_classes() -> tuple[np.ndarray, np.ndarray]:
         symbol[code] = False
     for lo, hi in ((0x10000, 0x1D000), (0x1E000, 0x1F000), (0x20000, 0x33480)):
         out[lo:hi], symbol[lo:hi] = OTHER_LETTER, False
-    for marks, kind in (("aeiouàâäáãåæèéêëìíîïòóôöõøùúûü", VOWEL), (_BROKEN, GARBLED), ("|=\t", CELL), (_MARKS, MARK)):
+    for marks, kind in (("aeiouàâäáãåæèéêëìíîïòóôöõøùúûü", VOWEL), ("\ufffd", GARBLED), ("|=\t", CELL), (_MARKS, MARK)):
         out[[ord(c) for c in marks]] = kind
     out[0x80:0xA0] = GARBLED
     return out, symbol
@@ -109,35 +107,39 @@ def word_class(word: str, common: frozenset[str]) -> int:
     return RANDOM if len(word) > 3 and word.isascii() and word.isalpha() and sum(map(word.count, "aeiouy")) < 0.2 * len(word) else CONTENT
 
 
-def cells(line: str) -> bool:
-    """Whether a line reads as a row of cells or of key=value fields."""
-    tokens = line.split()
-    if ("=" in line and len(_KEYED.findall(line)) >= 2) or ("|" in line and len(_PIPES.findall(line.strip())) >= 2) or line.count("\t") >= 2:
-        return True
-    if "  " in line or "\t" in line:
-        gaps = len(_GAPS.findall(line.strip()))
-        if gaps >= 2 and gaps >= (len(tokens) - 1) / 2 or len(tokens) <= 4 and _WIDE_GAP.search(line.strip()):
-            return True
-    if len(tokens) <= 3:
-        return any(len(x.findall(line)) >= 2 for x in (_COMMA, _SEMICOLON))
-    return False
+def joint_bits() -> np.ndarray:
+    """For each code point 0 where it belongs to a word, else its bit."""
+    out = np.full(0x110000, _SIGN, np.uint8)
+    for code in range(0x10000):
+        c = chr(code)
+        out[code] = _SPACE if c.isspace() else 0 if c.isalnum() else _SIGN
+    for lo, hi in ((0x10000, 0x1D000), (0x1E000, 0x1F000), (0x20000, 0x33480)):
+        out[lo:hi] = 0
+    for marks, bit in (("|\t=", _BORDER), (",;:，；：、", _SOFT), (".!?…。！？", _STOP)):
+        out[[ord(c) for c in marks]] = bit
+    return out
+
+
+def _misread() -> tuple[np.ndarray, np.ndarray]:
+    """(lead, follows): of each code point the number of further bytes that it announces where UTF-8 was read as one byte a character, and whether it may be one of them."""
+    lead, follows = np.zeros(0x110000, np.int8), np.zeros(0x110000, bool)
+    lead[0xC2:0xE0], lead[0xE0:0xF0], lead[0xF0:0xF5] = 1, 2, 3
+    follows[0x80:0xC0] = True
+    follows[[ord(c) for c in _CODE_PAGE]] = True
+    return lead, follows
 
 
 class Lines(NamedTuple):
-    """What is known of each line: distributions, layout (-1: blank), size, (words, their letters, common words, whether it ends in punctuation), symbols."""
+    """What is known of each line: distributions as counts, size, (words, their letters, common words, whether it ends in punctuation), symbols."""
 
     chars: np.ndarray
     said: np.ndarray
-    layout: np.ndarray
+    joints: np.ndarray
     size: np.ndarray
     counts: np.ndarray
     symbols: np.ndarray
 
 
-# Layouts of the forms; junk may have any.
-_LAYOUTS = {"prose": [1, 0, 0, 0, 0], "table": [0, 0, 0, 1, 0], "junk": [0.3, 0.1, 0.1, 0.1, 0.4]}
-
-
 class LineProfiles:
     """Distributions of lines, and the profiles to compare them with."""
 
@@ -145,92 +147,120 @@ class LineProfiles:
         self.common = common
         self.known: dict[str, int] = {}
         self.classes, self.symbols = character_classes()
-        self.forms = np.array([FORMS.index(f) for f, _ in SAMPLES])
-        described = [self.describe([text]) for _, text in SAMPLES]
-        self.chars = [d.chars.mean(axis=0) for d in described]
-        self.said = [d.said.mean(axis=0) for d in described]
-        marked = [[0, 0, 1, 0, 0] if MARKER.match(text) else [0, 1, 0, 0, 0] for _, text in SAMPLES]
-        self.layouts = [np.array(_LAYOUTS.get(form, m), float) for (form, _), m in zip(SAMPLES, marked)]
-
-    def describe(self, texts: list[str]) -> Lines:
-        """The distributions and counts of all texts' lines, blank ones too."""
-        joined = "\n".join(texts) + "\n"
+        self.bits = joint_bits()
+        self.lead, self.follows = _misread()
+        samples = [*SAMPLES, *(("prose", textwrap.fill(text.replace("\n", " "), COLUMNS)) for form, text in SAMPLES if form == "prose" and " " in text[:9])]
+        self.forms = np.array([FORMS.index(f) for f, _ in samples])
+        described = [self.describe(text.split("\n")) for _, text in samples]
+        self.profiles = {c: [getattr(d, c).sum(axis=0) / max(1, getattr(d, c).sum()) for d in described] for c in WEIGHTS}
+
+    def describe(self, lines: list[str]) -> Lines:
+        """The distributions and counts of lines none of which is blank."""
+        rows = len(lines)
+        if not rows:
+            none = np.zeros(0, np.int64)
+            return Lines(np.zeros((0, 11)), np.zeros((0, 5)), np.zeros((0, JOINTS)), none, np.zeros((0, 4), np.int64), none)
+        joined = "\n".join(lines) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = self.classes[codes].astype(np.int64)
         inside = codes != 10
         number = np.cumsum(~inside) - ~inside
-        rows = int(number[-1]) + 1
         symbols = np.bincount(number[self.symbols[codes]], minlength=rows)
         same = np.zeros(len(codes), bool)
         same[3:] = (codes[3:] == codes[2:-1]) & (codes[2:-1] == codes[1:-2]) & (codes[1:-2] == codes[:-3])
         kind[same & (kind != SPACE) & (kind != CELL) & (codes != 45)] = RUN
+        self._garbled(codes, kind)
         chars = np.bincount(number[inside] * 11 + kind[inside], minlength=rows * 11).reshape(rows, 11).astype(np.float64)
         chars[:, GARBLED] *= 6
-        said = np.zeros((rows, 5))
-        layout, size = np.full(rows, -1), np.zeros(rows, np.int64)
-        counts = np.zeros((rows, 4), np.int64)
-        known, common, at = self.known, self.common, 0
-        for text in texts:
-            lines = text.split("\n")
-            folded = fold(text).split("\n") if text else [""]
-            if len(folded) != len(lines):
-                folded = [fold(x) for x in lines]
-            before = ""  # open after a line that breaks off within a sentence
-            for line, plain in zip(lines, folded):
-                bare = _QUOTE.sub("", line).strip() if plain and not plain.isspace() else ""
-                if bare:
-                    found = _RUN.findall(plain)
-                    if found:
-                        distinct = set(found)
-                        row = [0, 0, 0, 0, 0]
-                        for w in distinct:
-                            k = known.get(w)
-                            if k is None:
-                                if len(known) > 300_000:
-                                    known.clear()
-                                k = known[w] = word_class(w, common)
-                            row[k] += 1
-                        again = len(found) - len(distinct)
-                        row[AGAIN if len(distinct) <= min(FEW, max(4, len(found) / 4)) else FUNCTION] += again
-                        said[at] = row
-                        counts[at, :3] = (len(found), sum(map(len, found)), sum(map(common.__contains__, found)))
-                    tail = bool(found) and found[-1] in common
-                    shape = self._shape(line, bare, before, tail)
-                    layout[at], size[at] = shape, len(line)
-                    counts[at, 3] = unicodedata.category(plain.rstrip()[-1])[0] == "P"
-                    before = "open" if shape == RUNNING and (len(bare) > 30 or tail or before) and not _ENDED.search(bare) else ""
-                else:
-                    before = ""
-                at += 1
-        for x in (chars, said):
-            total = x.sum(axis=1, keepdims=True)
-            np.divide(x, total, out=x, where=total > 0)
-        return Lines(chars, said, layout, size, counts, symbols)
-
-    @staticmethod
-    def _shape(line: str, bare: str, before: str, tail: bool) -> int:
-        if cells(bare):
-            return CELLS
-        if MARKER.match(line) and not (len(bare) > LONG and _SENTENCES.search(bare)):
-            return MARKED
-        if " " not in bare and len(bare) > 24:
-            return HEADLESS
-        # a line that ends in a function word or holds the end of a sentence is part of running text
-        if len(bare) <= ENTRY_LENGTH and before != "open" and not tail and not _ENDED.search(bare) and not _INNER_END.search(bare) and len(bare.split()) <= 9:
-            return ENTRY
-        return RUNNING
-
-    def distances(self, lines: Lines) -> np.ndarray:
-        """(lines, profiles): summed Jensen-Shannon divergences, in bits."""
-        layout = np.stack([jensen_shannon(np.eye(5), p) for p in self.layouts], axis=1)
-        total = 0.6 * layout[lines.layout]
-        for x, profiles, weight in ((lines.chars, self.chars, 1.5), (lines.said, self.said, 1.0)):
-            for k, profile in enumerate(profiles):
+        said, counts = np.zeros((rows, 5)), np.zeros((rows, 4), np.int64)
+        known, common = self.known, self.common
+        for at, line in enumerate(lines):
+            plain = fold(line)
+            found = _RUN.findall(plain)
+            if found:
+                distinct = set(found)
+                row = [0, 0, 0, 0, 0]
+                for w in distinct:
+                    k = known.get(w)
+                    if k is None:
+                        if len(known) > 300_000:
+                            known.clear()
+                        k = known[w] = word_class(w, common)
+                    row[k] += 1
+                again = len(found) - len(distinct)
+                row[AGAIN if len(distinct) <= min(FEW, max(4, len(found) / 4)) else FUNCTION] += again
+                said[at] = row
+                counts[at, :3] = (len(found), sum(map(len, found)), sum(map(common.__contains__, found)))
+            counts[at, 3] = unicodedata.category(plain.rstrip()[-1:] or " ")[0] == "P"
+        return Lines(chars, said, self._joints(codes, number, rows), np.array([len(x) for x in lines], np.int64), counts, symbols)
+
+    def _garbled(self, codes: np.ndarray, kind: np.ndarray) -> None:
+        """Marks sequences of characters that are bytes of UTF-8 read one by one."""
+        lead, follows = self.lead[codes], self.follows[codes]
+        begins = np.flatnonzero(lead)
+        for more in (1, 2, 3):
+            at = begins[lead[begins] == more]
+            at = at[at + more < len(codes)]
+            for k in range(1, more + 1):
+                at = at[follows[at + k]]
+            for k in range(more + 1):
+                kind[at + k] = GARBLED
+
+    def _joints(self, codes: np.ndarray, number: np.ndarray, rows: int) -> np.ndarray:
+        """(rows, JOINTS): how often each joint stands in a line."""
+        bits = self.bits[codes]
+        ends = codes == 10
+        word = bits == 0
+        between = ~word & ~ends
+        out = np.zeros((rows, JOINTS))
+        direct = np.flatnonzero(ends & np.r_[False, word[:-1]])
+        out[number[direct], LINE_END] = 1
+        start = np.flatnonzero(between & ~np.r_[False, between[:-1]])
+        if not len(start):
+            return out
+        stop_at = np.flatnonzero(between & ~np.r_[between[1:], False]) + 1
+        every = np.bitwise_or.reduceat(np.where(between, bits, 0), start)
+        border, space, soft, stop, sign = ((every & b) > 0 for b in (_BORDER, _SPACE, _SOFT, _STOP, _SIGN))
+        opens = (start == 0) | ends[np.maximum(start - 1, 0)]
+        closes = ends[np.minimum(stop_at, len(ends) - 1)]
+        wide = codes[start] > 0x2FFF  # marks of Chinese take no blank
+        joint = np.full(len(start), BLANK)
+        joint[sign] = -1  # hyphens, quotes and the like say nothing
+        joint[soft] = np.where(space | wide, SOFT, CELL_BORDER)[soft]
+        joint[stop] = np.where(space | wide, STOP, -1)[stop]
+        joint[border | ((every == _SPACE) & (stop_at - start > 1))] = CELL_BORDER
+        last = closes & ~opens
+        joint[last] = np.where(border, CELL_BORDER, np.where(stop, SENTENCE_END, np.where(soft, SOFT, LINE_END)))[last]
+        joint[opens] = np.where(border, CELL_BORDER, np.where(sign & space & ~closes, MARKER, -1))[opens]
+        # a number or letter of up to three characters, a point or bracket and a blank at a line's start
+        line_start = np.zeros(len(start), np.int64)
+        first = np.flatnonzero(np.r_[True, ends[:-1]])
+        line_start = first[np.searchsorted(first, start, side="right") - 1]
+        counted = ~opens & ~closes & space & (start - line_start <= 3) & ((codes[start] == 46) | (codes[start] == 41))
+        joint[counted] = MARKER
+        known = joint >= 0
+        np.add.at(out, (number[start[known]], joint[known]), 1)
+        return out
+
+    def distances(self, lines: Lines, owner: np.ndarray) -> np.ndarray:
+        """(lines, profiles): summed Jensen-Shannon divergences, in bits. owner: the text of each line."""
+        total = np.zeros((len(lines.size), len(self.forms)))
+        for name, weight in WEIGHTS.items():
+            x = getattr(lines, name)
+            if name != "chars":
+                near = x.copy()
+                for k in (1, 2):
+                    same = (owner[k:] == owner[:-k])[:, None] * NEIGHBOUR**k
+                    near[k:] += x[:-k] * same
+                    near[:-k] += x[k:] * same
+                x = near
+            x = x / np.maximum(x.sum(axis=1, keepdims=True), 1e-9)
+            for k, profile in enumerate(self.profiles[name]):
                 total[:, k] += weight * jensen_shannon(x, profile)
         return total
 
-    def line_forms(self, lines: Lines) -> np.ndarray:
-        return self.forms[self.distances(lines).argmin(axis=1)]
+    def line_forms(self, lines: Lines, owner: np.ndarray) -> np.ndarray:
+        return self.forms[self.distances(lines, owner).argmin(axis=1)]
 
 
 def _entropy(x: np.ndarray) -> np.ndarray:
@@ -262,22 +292,27 @@ def text_quality(documents: DataFrame, common_words: DataFrame) -> DataFrame:
 
         def work(batch):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            lines = profiles.describe(texts)
-            forms = profiles.line_forms(lines)
-            owner = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
-            full = lines.layout >= 0
-            share = np.bincount(owner * 4 + forms, weights=lines.size, minlength=len(texts) * 4).reshape(-1, 4)
+            rows = len(texts)
+            kept = [[x for x in t.split("\n") if x and not _BLANK.fullmatch(x)] for t in texts]
+            every, owner = [x for lines in kept for x in lines], np.repeat(np.arange(rows), [len(x) for x in kept])
+            share, sums = np.zeros((rows, len(FORMS))), np.zeros((rows, 5))
+            for at in range(0, len(every), LINES):
+                # two lines more on each side, whose neighbours these are
+                lo, hi = max(0, at - 2), min(len(every), at + LINES + 2)
+                lines, own = profiles.describe(every[lo:hi]), owner[lo:hi]
+                forms = profiles.line_forms(lines, own)
+                use = slice(at - lo, min(at + LINES, len(every)) - lo)
+                np.add.at(share, (own[use], forms[use]), lines.size[use])
+                np.add.at(sums, own[use], np.concatenate([lines.counts, lines.symbols[:, None]], axis=1)[use])
             total = share.sum(axis=1)
-            n, letters, common = (np.bincount(owner, weights=lines.counts[:, k], minlength=len(texts)) for k in range(3))
-            symbols = np.bincount(owner, weights=lines.symbols, minlength=len(texts))
-            ended_lines = np.bincount(owner, weights=lines.counts[:, 3], minlength=len(texts))
-            size, full_lines = np.array([len(t) for t in texts]), np.bincount(owner[full], minlength=len(texts))
+            n, letters, common, ended, symbols = sums.T
+            size, full = np.array([len(t) for t in texts]), np.bincount(owner, minlength=rows)
 
             def over(a, b):
                 return pa.array(np.divide(a, b, out=np.zeros(len(a)), where=b > 0), mask=b == 0)
 
             out = {"doc_id": batch.column("doc_id"), "words": n.astype(np.int64), "mean_word_length": over(letters, n), "symbol_ratio": over(symbols, size)}
-            out |= {"ended_lines": over(ended_lines, full_lines), "common_share": over(common, n)}
+            out |= {"ended_lines": over(ended, full), "common_share": over(common, n)}
             out |= {f"{f}_share": over(share[:, k], total) for k, f in enumerate(FORMS)}
             return out | {"form": [FORMS[k] if some else None for k, some in zip(share.argmax(axis=1).tolist(), total > 0)]}
 

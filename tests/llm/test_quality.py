@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,4 +58,32 @@ def test_divergence():
 
     x = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0]])
     assert jensen_shannon(x, np.array([0.0, 0.0, 1.0])).tolist() == [1.0, 1.0] and jensen_shannon(x, x[0])[0] == 0
-    assert len(LineProfiles(frozenset()).forms) == len(LineProfiles(frozenset()).chars)
+    assert len(LineProfiles(frozenset()).forms) == len(LineProfiles(frozenset()).profiles["chars"])
+
+
+def shares(texts, common=frozenset("a o e de do da em que não um uma os as the of and to in was by we that".split())):
+    profiles = LineProfiles(common)
+    lines = [x for t in texts for x in t.split("\n") if x.strip()]
+    owner = np.repeat(np.arange(len(texts)), [sum(bool(x.strip()) for x in t.split("\n")) for t in texts])
+    described = profiles.describe(lines)
+    size = np.zeros((len(texts), 4))
+    np.add.at(size, (owner, profiles.line_forms(described, owner)), described.size)
+    return [FORMS[k] for k in size.argmax(axis=1)]
+
+
+def test_capitals_with_accents_are_no_junk():
+    text = "A ADMINISTRAÇÃO DE SÃO PAULO NÃO PUBLICOU A DECISÃO, E A POPULAÇÃO DA REGIÃO NÃO FOI OUVIDA EM UMA AUDIÊNCIA."
+    assert shares([text, "L'âne a mangé des pâtes près du château, et la fête de la forêt a été très belle."]) == ["prose", "prose"]
+    assert shares([text.encode().decode("cp1252", "replace"), ("Die Übung war für die Schüler schön. " * 3).encode().decode("latin-1")])[0] == "junk"
+
+
+def test_forms_without_layout_patterns():
+    wrapped = "When the train came in we saw that the doors of\ncarriage 14 were open and nobody was in it, so we\nasked the guard for the reason and went to the\nold station again."
+    entries = "\n".join(["warm kettle", "Tolvane (4417)", "open doors", "quiet platform brown-fox-2211", "guard room, Melvia", "seat cover"])
+    assert shares([wrapped, entries, "\n".join(f"{k}. {x}" for k, x in enumerate(entries.split("\n"), 1)), "seat | price\n14 | 7.30\n22 | 6.10"]) == ["prose", "list", "list", "table"]
+
+
+def test_blank_lines_cost_nothing(spark):
+    text = "\n" * 1_000_000
+    profiles = LineProfiles(frozenset())
+    assert [x for x in text.split("\n") if x and not x.isspace()] == [] and profiles.describe([]).size.shape == (0,)
