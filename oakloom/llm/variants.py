@@ -1,8 +1,9 @@
 """Problem 2: records that are the same but for spacing, case, punctuation and key order.
 
-Progressive partition refinement. Each record gets cheap invariants first: the number of letters and
-digits of prompt and response and their letter histograms. Only records whose class has several members
-get the costly key, 128 bits of their words in order.
+Progressive partition refinement. One reading of the texts gives each record 32 bytes: its id, a cheap invariant (the numbers of letters and
+digits of prompt and response and their histograms) and 128 bits of its words in order. Classes of the invariant come first; only
+those with several members are refined by the words. The words' hash is taken in the same reading, as reading the suspects' texts again, or moving them, would cost more
+than it does; nothing but these rows is shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oakloom.llm.words import fold, map_batches, sequence_key, words
+from oakloom.llm.storage import written
+from oakloom.llm.words import map_batches, sequence_key, words
 
 _COLUMNS = ("sample_id", "prompt", "response", "line", "is_raw")
 
@@ -64,26 +66,35 @@ def _histogram(stripped: str) -> bytes:
     return np.bincount(codes & 63, minlength=64).astype(np.uint32).tobytes()
 
 
-def _invariants(batch):
-    ids, cheap = [], []
+def _keys(batch):
+    ids, cheap, a, b = [], [], [], []
     for i, p, r in _pairs(batch):
+        p, r = words(p), words(r)
         raw = b""
         for text in (p, r):
-            stripped = "".join(words(text))
+            stripped = "".join(text)
             raw += len(stripped).to_bytes(8, "little") + _histogram(stripped)
+        x, y = sequence_key(p, r)
         ids.append(i)
         cheap.append(int.from_bytes(xxhash.xxh64_digest(raw), "little", signed=True))
-    return {"sample_id": ids, "cheap": cheap}
-
-
-def _keys(batch):
-    ids, a, b = [], [], []
-    for i, p, r in _pairs(batch):
-        x, y = sequence_key(words(p), words(r))
-        ids.append(i)
         a.append(x)
         b.append(y)
-    return {"sample_id": ids, "key_a": a, "key_b": b}
+    return {"sample_id": ids, "cheap": cheap, "key_a": a, "key_b": b}
+
+
+def _keyed(samples: DataFrame, raw: DataFrame | None) -> DataFrame:
+    return written(map_batches(all_records(samples, raw), _keys, "sample_id bigint, cheap bigint, key_a bigint, key_b bigint"), "keys")
+
+
+def _refined(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alone, suspects): the ids of records whose invariant no other has, and the rows of the others."""
+    cheap = keyed.groupBy("cheap").agg(F.count("*").alias("members"), F.min("sample_id").alias("sample_id"))
+    several = cheap.where("members > 1").select("cheap")
+    return cheap.where("members = 1").select("sample_id"), keyed.join(several.hint("merge"), "cheap", "left_semi")
+
+
+def _classes(suspects: DataFrame) -> DataFrame:
+    return suspects.groupBy("cheap", "key_a", "key_b").agg(F.min("sample_id").alias("first_id"), F.count("*").alias("copies"))
 
 
 def format_variants(samples: DataFrame, raw: DataFrame | None = None) -> DataFrame:
@@ -95,18 +106,12 @@ def format_variants(samples: DataFrame, raw: DataFrame | None = None) -> DataFra
     The classes are counted with partial aggregates before any shuffle; a class that holds a large share of
     all rows is joined back to its first id by an ordinary join, which AQE splits.
     """
-    records = all_records(samples, raw)
-    cheap = map_batches(records, _invariants, "sample_id bigint, cheap bigint")
-    several = cheap.groupBy("cheap").agg(F.count("*").alias("n")).where("n > 1").select("cheap")
-    suspects = cheap.join(several, "cheap", "left_semi").select("sample_id")
-    keyed = map_batches(records.join(suspects, "sample_id", "left_semi"), _keys, "sample_id bigint, key_a bigint, key_b bigint")
-    classes = keyed.groupBy("key_a", "key_b").agg(F.min("sample_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    return keyed.join(classes, ["key_a", "key_b"]).select("sample_id", "first_id", "copies")
+    _, suspects = _refined(_keyed(samples, raw))
+    classes = _classes(suspects).where("copies > 1")
+    return suspects.join(classes.hint("merge"), ["cheap", "key_a", "key_b"]).select("sample_id", "first_id", "copies")
 
 
 def collapsed(samples: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """(sample_id, copies): one row per class of format variants, under its smallest id, with its number of copies."""
-    linked = format_variants(samples, raw)
-    everyone = map_batches(all_records(samples, raw), _invariants, "sample_id bigint, cheap bigint").select("sample_id")
-    alone = everyone.join(linked.select("sample_id"), "sample_id", "left_anti").select("sample_id", F.lit(1).cast("bigint").alias("copies"))
-    return alone.unionByName(linked.select(F.col("first_id").alias("sample_id"), "copies").distinct())
+    alone, suspects = _refined(_keyed(samples, raw))
+    return alone.select("sample_id", F.lit(1).cast("bigint").alias("copies")).unionByName(_classes(suspects).select(F.col("first_id").alias("sample_id"), "copies"))
