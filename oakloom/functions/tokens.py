@@ -6,19 +6,28 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 # Fixed value: the published pre-tokenizer pattern of the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def code_points(text: Column | str, max_length: int | None = None) -> Column:
-    """Token array of a text, one code point each; cut to ``max_length`` only where it is given; null and empty texts have none."""
+    """Token array of a text, one code point each; cut to ``max_length`` only where it is given; null and empty texts have none.
+
+    A batch of texts is read as UTF-32 in Arrow; splitting into characters in the JVM makes a string and a boxed number of each.
+    """
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def points(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32))
+
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    tokens = F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(text, ""), F.ascii))
-    return tokens if max_length is None else F.slice(tokens, 1, max_length)
+    return points(text if max_length is None else F.left(text, F.lit(max_length)))
 
 
 def keep_last(tokens: Column | str, n: int) -> Column:

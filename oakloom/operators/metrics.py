@@ -76,7 +76,7 @@ def schedule(spark: SparkSession, total: int, warmup: int, least: float = 0.1) -
     return spark.range(total).select(F.col("id").alias("step"), learning_rate_factor(F.col("id"), warmup, total, least).alias("factor"))
 
 
-def total_steps(batches: Column, epochs: int, warmup_ratio: float) -> tuple[Column, Column]:
+def total_steps(batches: Column, epochs: Column | int, warmup_ratio: Column | float) -> tuple[Column, Column]:
     """(total_steps, warmup_steps), the second cut towards nought."""
     total = (batches * epochs).cast("bigint")
     return total, F.floor(total * warmup_ratio).cast("bigint")

@@ -62,18 +62,18 @@ def _turned(x: np.ndarray) -> np.ndarray:
 
 
 def forward(tokens: np.ndarray, weights: dict[str, np.ndarray], config: ModelConfig) -> np.ndarray:
-    """(positions, vocabulary): logits of one sequence."""
+    """(..., positions, vocabulary): logits of one sequence or of a batch of sequences of one width; what stands right of a position doesn't change it."""
     x = weights["token_embedding.weight"][tokens]
-    t, heads = len(tokens), config.n_head
+    t, heads = x.shape[-2], config.n_head
     ahead = np.triu(np.full((t, t), -np.inf), 1)
     for i in range(config.n_layer):
         b = f"blocks.{i}."
         n = _norm(x, weights[b + "norm1.weight"])
-        q, k, v = ((n @ weights[f"{b}attention.{p}.weight"]).reshape(t, heads, -1).transpose(1, 0, 2) for p in "qkv")
-        scores = _turned(q) @ _turned(k).transpose(0, 2, 1) / np.sqrt(q.shape[-1]) + ahead
+        q, k, v = (np.moveaxis((n @ weights[f"{b}attention.{p}.weight"]).reshape(*n.shape[:-1], heads, -1), -2, -3) for p in "qkv")
+        scores = _turned(q) @ np.swapaxes(_turned(k), -1, -2) / np.sqrt(q.shape[-1]) + ahead
         share = np.exp(scores - scores.max(axis=-1, keepdims=True))
         share /= share.sum(axis=-1, keepdims=True)
-        x = x + (share @ v).transpose(1, 0, 2).reshape(t, -1) @ weights[b + "attention.out.weight"]
+        x = x + np.moveaxis(share @ v, -3, -2).reshape(x.shape) @ weights[b + "attention.out.weight"]
         n = _norm(x, weights[b + "norm2.weight"])
         gate = n @ weights[b + "ffn.w1.weight"]
         x = x + (gate / (1 + np.exp(-gate)) * (n @ weights[b + "ffn.w2.weight"])) @ weights[b + "ffn.w3.weight"]
@@ -81,6 +81,22 @@ def forward(tokens: np.ndarray, weights: dict[str, np.ndarray], config: ModelCon
     return _norm(x, weights["norm.weight"]) @ head.T
 
 
+def _grouped(sequences: list[np.ndarray], config: ModelConfig, budget: int = 4_000_000):
+    """(indices, tokens) of sequences that aren't empty, padded on the right; of much the same length, and as many as keep the logits under the budget."""
+    order = sorted((k for k, x in enumerate(sequences) if len(x)), key=lambda k: len(sequences[k]))
+    at = 0
+    while at < len(order):
+        upto = at + 1
+        while upto < len(order) and (upto + 1 - at) * len(sequences[order[upto]]) * config.vocab_size <= budget:
+            upto += 1
+        some = order[at:upto]
+        tokens = np.zeros((len(some), len(sequences[some[-1]])), np.int64)
+        for row, k in enumerate(some):
+            tokens[row, : len(sequences[k])] = sequences[k]
+        yield some, tokens
+        at = upto
+
+
 def _checked(tokens, config: ModelConfig) -> np.ndarray:
     tokens = np.asarray([] if tokens is None else tokens, np.int64)
     if len(tokens) and tokens.max() >= config.vocab_size:
@@ -96,16 +112,19 @@ def sequence_losses(samples: DataFrame, key: str, weights: dict[str, np.ndarray]
         import pandas as pd
 
         for batch in batches:
+            names, labels = batch[key].tolist(), batch["labels"].tolist()
+            sequences = [_checked(x, config)[: config.max_seq_len] for x in batch["input_ids"]]
             rows = []
-            for name, ids, labels in zip(batch[key], batch["input_ids"], batch["labels"]):
-                ids = _checked(ids, config)[: config.max_seq_len]
-                if not len(ids):
-                    continue
-                logits = forward(ids, sent.value, config)
+            for some, tokens in _grouped(sequences, config):
+                logits = forward(tokens, sent.value, config)
                 high = logits.max(axis=-1)
-                total = high + np.log(np.exp(logits - high[:, None]).sum(axis=-1))
-                rows += [(name, p, float(total[p] - logits[p, y])) for p, y in enumerate(np.asarray(labels)[: len(ids)]) if y != ignore]
-            yield pd.DataFrame(rows, columns=[key, "position", "loss"])
+                total = high + np.log(np.exp(logits - high[..., None]).sum(axis=-1))
+                for row, k in enumerate(some):
+                    y = np.asarray(labels[k], np.int64)[: len(sequences[k])]
+                    at = np.flatnonzero(y != ignore)
+                    loss = total[row, at] - logits[row, at, y[at]]
+                    rows.append(pd.DataFrame({key: names[k], "position": at.astype(np.int32), "loss": loss}))
+            yield pd.concat(rows) if rows else pd.DataFrame({key: pd.Series(dtype="int64"), "position": pd.Series(dtype="int32"), "loss": pd.Series(dtype="float64")})
 
     return samples.select(key, "input_ids", "labels").mapInPandas(run, f"{key} bigint, position int, loss double")
 
@@ -118,7 +137,13 @@ def last_logits(samples: DataFrame, key: str | list[str], tokens: str, weights:
     def run(batches):
         for batch in batches:
             out = batch[keys].copy()
-            out["logits"] = [forward(t[-config.max_seq_len :], sent.value, config)[-1].tolist() if len(t := _checked(x, config)) else None for x in batch[tokens]]
+            sequences = [_checked(x, config)[-config.max_seq_len :] for x in batch[tokens]]
+            last: list = [None] * len(sequences)
+            for some, padded in _grouped(sequences, config):
+                logits = forward(padded, sent.value, config)
+                for row, k in enumerate(some):
+                    last[k] = logits[row, len(sequences[k]) - 1].tolist()
+            out["logits"] = last
             yield out
 
     return samples.select(*keys, tokens).mapInPandas(run, ", ".join(f"{k} bigint" for k in keys) + ", logits array<double>")
@@ -134,29 +159,31 @@ def generated(
     """
     sent = prompts.sparkSession.sparkContext.broadcast(weights)
 
-    def one(name: int, start) -> list[int]:
-        out = _checked(start, config).tolist()
-        draw = np.random.default_rng([seed, int(name)])
-        for _ in range(new_tokens if out else 0):
-            logits = forward(np.asarray(out[-config.max_seq_len :]), sent.value, config)[-1]
-            if temperature <= 0:
-                token = int(logits.argmax())
-            else:
-                order = np.argsort(-logits, kind="stable")
-                p = np.exp((logits[order] - logits[order[0]]) / temperature)
-                p /= p.sum()
-                kept = (np.cumsum(p) <= top_p) | (np.arange(len(p)) == 0) if top_p < 1 else np.ones(len(p), bool)
-                p = np.where(kept, p, 0)
-                token = int(order[draw.choice(len(p), p=p / p.sum())])
-            out.append(token)
-            if token == end:
-                break
-        return out
+    def pick(logits: np.ndarray, draw) -> int:
+        if temperature <= 0:
+            return int(logits.argmax())
+        order = np.argsort(-logits, kind="stable")
+        p = np.exp((logits[order] - logits[order[0]]) / temperature)
+        p /= p.sum()
+        kept = (np.cumsum(p) <= top_p) | (np.arange(len(p)) == 0) if top_p < 1 else np.ones(len(p), bool)
+        p = np.where(kept, p, 0)
+        return int(order[draw.choice(len(p), p=p / p.sum())])
 
     def run(batches):
         for batch in batches:
             out = batch[[key]].copy()
-            out["tokens"] = [one(n, t) for n, t in zip(batch[key], batch[tokens])]
+            said = [_checked(x, config).tolist() for x in batch[tokens]]
+            draws = [np.random.default_rng([seed, int(n)]) for n in batch[key]]
+            going = [bool(x) for x in said]
+            for _ in range(new_tokens):
+                seen = [np.asarray(x[-config.max_seq_len :] if on else [], np.int64) for x, on in zip(said, going)]
+                for some, padded in _grouped(seen, config):
+                    logits = forward(padded, sent.value, config)
+                    for row, k in enumerate(some):
+                        token = pick(logits[row, len(seen[k]) - 1], draws[k])
+                        said[k].append(token)
+                        going[k] = token != end
+            out["tokens"] = said
             yield out
 
     return prompts.select(key, tokens).mapInPandas(run, f"{key} bigint, tokens array<bigint>")

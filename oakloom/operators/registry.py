@@ -5,7 +5,7 @@ Mutations are rows appended to logs; the current state is a query over them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oakloom.operators.windows import numbered_batches
@@ -86,6 +86,49 @@ def latest_version(models: DataFrame, name: str = "name", version: str = "versio
     return where_equal(models, **wanted).groupBy(name).agg(F.when(~F.coalesce(broken, F.lit(False)), F.max(number)).cast("string").alias(version))
 
 
+def registered(models: DataFrame, new: DataFrame, order: str, name: str = "name", version: str = "version") -> DataFrame:
+    """The new rows with their versions as text: per name one more than the largest there, without gaps, in the order of a column. Names are case-sensitive; a null name is one of its own.
+
+    A version there that is no whole number doesn't count. One writer at a time, as for other inserts.
+    """
+    last = models.groupBy(F.col(name).alias("_name")).agg(F.coalesce(F.max(F.expr(f"try_cast(`{version}` AS bigint)")), F.lit(0)).alias("_last"))
+    placed = new.drop(version).withColumn("_at", F.row_number().over(Window.partitionBy(name).orderBy(order)))
+    joined = placed.join(last, placed[name].eqNullSafe(last["_name"]), "left")
+    return joined.withColumn(version, (F.coalesce("_last", F.lit(0)) + F.col("_at")).cast("string")).drop("_name", "_last", "_at")
+
+
+def staged(models: DataFrame, changes: DataFrame, keys: tuple[str, ...] = ("name", "version"), column: str = "stage", order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(models, missing): the models with the stage of their last change, an explicit null too, and the changes of versions that aren't there."""
+    ids = models.select(*keys).distinct()
+    last = changes.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("at"), F.struct(column).alias("kept")))["kept"].alias("_kept"))
+    after = models.join(last, list(keys), "left").withColumn(column, F.when(F.col("_kept").isNotNull(), F.col("_kept")[column]).otherwise(F.col(column)))
+    return after.select(*models.columns), changes.join(ids, list(keys), "left_anti").select(*changes.columns)
+
+
+def updated(rows: DataFrame, changes: DataFrame, column: str, at: str = "updated_at", key: str = "id", order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(rows, missing): the rows with the value of their last change and its time in ``at``, and the changes of ids that aren't there.
+
+    changes: (key, column, at, order). Of several changes the one of the largest order holds; a row without changes stays as it is.
+    """
+    last = changes.groupBy(key).agg(F.max(F.struct(F.col(order).alias("o"), F.struct(column, at).alias("kept")))["kept"].alias("_kept"))
+    after = rows.join(last, key, "left")
+    for c in (column, at):
+        after = after.withColumn(c, F.when(F.col("_kept").isNotNull(), F.col("_kept")[c]).otherwise(F.col(c)))
+    return after.select(*rows.columns), changes.join(rows.select(key), key, "left_anti").select(*changes.columns)
+
+
+def patched_metrics(rows: DataFrame, patches: DataFrame, column: str = "metrics", key: str = "id", order: str = "seq") -> DataFrame:
+    """The rows with their JSON map of numbers patched by rows (key, map, order): later patches win key by key, explicit nulls too; keys in the map go by name."""
+    base = json_entries(rows, key, column).select(key, F.col("name").alias("_k"), "value", F.lit(-(2**63)).alias("_o"))
+    more = patches.select(key, F.explode("patch").alias("_k", "value"), F.col(order).alias("_o"))
+    last = base.unionByName(more).groupBy(key, "_k").agg(F.max(F.struct("_o", F.struct("value").alias("kept")))["kept"]["value"].alias("value"))
+    entries = F.array_sort(F.collect_list(F.struct("_k", "value")))
+    maps = last.groupBy(key).agg(F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias("_patched"))
+    touched = patches.select(key).distinct().withColumn("_touched", F.lit(True))
+    after = rows.join(maps, key, "left").join(touched, key, "left")
+    return after.withColumn(column, F.when(F.col("_touched"), F.col("_patched")).otherwise(F.col(column))).select(*rows.columns)
+
+
 def resolved_version(models: DataFrame, name: str, version: str | None = None, stage: str | None = None) -> str:
     """The version to load: the one asked for, else the latest of the stage, else the latest; LookupError where there is none."""
     if version is not None:

@@ -2,33 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oakloom.functions.numerics import softmax
+from oakloom.operators.windows import hashed_number
 
 
 def nucleus(logits: DataFrame, key: str, column: str, top_p: float = 0.9, temperature: float = 1.0) -> DataFrame:
     """(key, token, rank, p): the tokens kept by nucleus selection, with their probabilities renormalised.
 
     Tokens go by falling probability, ties by the smaller token; those beyond a cumulated ``top_p`` are
-    dropped, the first never. A top_p of 1 or more keeps all.
+    dropped, the first never. A top_p of 1 or more keeps all. A distribution is sorted and summed up where it stands, in Arrow batches; only what is kept becomes rows.
     """
-    spread = logits.select(key, F.posexplode(softmax(column, temperature)).alias("token", "p"))
-    order = Window.partitionBy(key).orderBy(F.desc("p"), "token")
-    ranked = spread.withColumn("rank", F.row_number().over(order)).withColumn("_sum", F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = ranked if top_p >= 1 else ranked.where((F.col("rank") == 1) | (F.col("_sum") <= top_p))
-    return kept.select(key, "token", "rank", (F.col("p") / F.sum("p").over(Window.partitionBy(key))).alias("p"))
+
+    def kept(batches):
+        for batch in batches:
+            names, parts = [], []
+            for name, p in zip(batch[key], batch["_p"]):
+                if p is None or not len(p):
+                    continue
+                order = np.argsort(-np.asarray(p), kind="stable")
+                p = np.asarray(p)[order]
+                last = len(p) if top_p >= 1 else max(1, int(np.searchsorted(np.cumsum(p), top_p, side="right")))
+                names += [name] * last
+                parts.append((order[:last], np.arange(1, last + 1), p[:last] / p[:last].sum()))
+            token, rank, share = (np.concatenate(x) for x in zip(*parts)) if parts else ([], [], [])
+            yield pd.DataFrame({key: names, "token": token, "rank": rank, "p": share})
+
+    kind = logits.schema[key].dataType.simpleString()
+    return logits.select(key, softmax(column, temperature).alias("_p")).mapInPandas(kept, f"`{key}` {kind}, token int, rank int, p double")
 
 
 def drawn(kept: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """(key, token): one token of each distribution by the inverse of its sums at a number hashed from key and seed."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**53)) / float(2**53)).alias("_u")
+    u = (hashed_number(key, seed, 13) / float(2**52)).alias("_u")
     sums = F.sum("p").over(Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     last = F.max("rank").over(Window.partitionBy(key))
     reached = kept.select(key, "token", "rank", u, sums.alias("_sum"), last.alias("_last")).where((F.col("_sum") > F.col("_u")) | (F.col("rank") == F.col("_last")))
     return reached.groupBy(key).agg(F.min_by("token", "rank").alias("token"))
-
-
-def first_above(column: Column, value: float) -> Column:
-    return F.filter(column, lambda x: x > value)[0]

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oakloom.functions import numerics as N
 from oakloom.functions import text as X
 from oakloom.functions import tokens as T
 from oakloom.operators import corpus, metrics, model, registry, sampling, windows
+from oakloom.sources import sinks
 from oakloom.sources.files import parsed_records, table
 
 # Added before means are rounded: values of six digits make ties, which the engines' sums in different order would break differently.
@@ -107,26 +108,60 @@ def code_point_tokens(spark, folder):
 # Windows and samples
 
 
-@query("""WITH s AS (SELECT string_agg(text, '' ORDER BY doc_id) AS t FROM documents WHERE text <> ''),
-    k AS (SELECT t, unnest(range(0, CASE WHEN length(t) > 512 THEN (length(t) - 512 + 383) // 384 ELSE 0 END)) AS k FROM s),
-    w AS (SELECT k, list_transform(string_split(substr(t, k * 384 + 1, 513), ''), lambda c: unicode(c)) AS x FROM k)
-    SELECT k::BIGINT AS k, len(x) AS n, list_sum(x)::BIGINT AS total, x[1]::BIGINT AS first, x[-1]::BIGINT AS last FROM w""")
+def _weighted(c: Column | str) -> Column:
+    """Sum of position times value, positions from 1: it changes with the order."""
+    pairs = F.transform(c, lambda v, i: v.cast("bigint") * (i + 1))
+    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+def _weighted_sql(c: str) -> str:
+    return f"list_sum(list_transform({c}, lambda v, i: v::BIGINT * i))::BIGINT"
+
+
+_STREAM_SQL = """SELECT string_agg(text, '' ORDER BY doc_id) AS t FROM documents WHERE text <> ''"""
+
+
+def _window_sql(stream: str, length: int, stride: int) -> str:
+    return f"""WITH s AS ({stream}),
+    k AS (SELECT t, unnest(range(0, CASE WHEN length(t) > {length} THEN (length(t) - {length} + {stride - 1}) // {stride} ELSE 0 END)) AS k FROM s),
+    w AS (SELECT k, list_transform(string_split(substr(t, k * {stride} + 1, {length + 1}), ''), lambda c: unicode(c)) AS x FROM k)
+    SELECT k::BIGINT AS k, len(x) AS n, {_weighted_sql("x")} AS weighted, x[1]::BIGINT AS first, x[-1]::BIGINT AS last FROM w"""
+
+
+def _window_numbers(packed: DataFrame) -> DataFrame:
+    packed = packed.select("k", T.code_points("window").alias("x"))
+    return packed.select("k", F.size("x").cast("bigint").alias("n"), _weighted("x").alias("weighted"), F.get("x", F.lit(0)).cast("bigint").alias("first"), F.element_at("x", -1).cast("bigint").alias("last"))
+
+
+@query(_window_sql(_STREAM_SQL, 512, 384))
 def pack_windows(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", T.code_points("text").alias("tokens"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    packed = windows.pack_windows(docs, "doc_id", "tokens", 512, 384, size="n")
-    return packed.select("k", F.size("window").cast("bigint").alias("n"), F.aggregate("window", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("total"),
-                         F.get("window", F.lit(0)).cast("bigint").alias("first"), F.element_at("window", -1).cast("bigint").alias("last"))
+    return _window_numbers(windows.pack_texts(table(spark, folder, "documents"), "doc_id", "text", 512, 384))
+
+
+@query(_window_sql("SELECT string_agg(text, '' ORDER BY doc_id // 9, doc_id) AS t FROM documents WHERE text <> ''", 256, 256))
+def pack_windows_repeated_keys(spark, folder):
+    """Nine documents of each key, which stay whole and go by the ties."""
+    docs = table(spark, folder, "documents").withColumn("key", F.expr("doc_id div 9"))
+    return _window_numbers(windows.pack_texts(docs, "key", "text", 256, ties=("doc_id",)))
+
 
+@query(f"""WITH s AS (SELECT flatten(list(x ORDER BY vec_id // 5, vec_id)) AS t FROM (SELECT vec_id, list_transform(embedding, lambda v: floor(v * 100)::INTEGER) AS x FROM embeddings)),
+    k AS (SELECT t, unnest(range(0, (len(t) - 100 + 69) // 70)) AS k FROM s)
+    SELECT k::BIGINT AS k, {_weighted_sql("t[k * 70 + 1 : k * 70 + 101]")} AS weighted FROM k""")
+def pack_token_arrays(spark, folder):
+    """Token arrays instead of texts, with repeated keys."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.expr("vec_id div 5").alias("key"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 100).cast("int")).alias("tokens"))
+    return windows.pack_windows(rows, "key", "tokens", 100, 70, ties=("vec_id",)).select("k", _weighted("window").alias("weighted"))
 
-@query("""WITH d AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS x FROM documents WHERE length(text) > 256),
+
+@query(f"""WITH d AS (SELECT doc_id, list_transform(string_split(text, ''), lambda c: unicode(c)) AS x FROM documents WHERE length(text) > 256),
     k AS (SELECT doc_id, x, unnest(range(0, len(x) - 256, 192)) AS i FROM d)
-    SELECT doc_id, (i // 192)::BIGINT AS k, list_sum(x[i + 1 : i + 256])::BIGINT AS inputs, list_sum(x[i + 2 : i + 257])::BIGINT AS labels FROM k""")
+    SELECT doc_id, (i // 192)::BIGINT AS k, {_weighted_sql("x[i + 1 : i + 256]")} AS inputs, {_weighted_sql("x[i + 2 : i + 257]")} AS labels FROM k""")
 def document_windows(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", T.code_points("text").alias("tokens"))
+    docs = table(spark, folder, "documents").where(F.length("text") > 256).select("doc_id", T.code_points("text").alias("tokens"))
     each = docs.select("doc_id", F.posexplode(windows.document_windows("tokens", 256, 192)).alias("k", "w"))
     ids, labels = windows.next_token_pair("w")
-    add = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return each.select("doc_id", F.col("k").cast("bigint").alias("k"), add(ids).alias("inputs"), add(labels).alias("labels"))
+    return each.select("doc_id", F.col("k").cast("bigint").alias("k"), _weighted(ids).alias("inputs"), _weighted(labels).alias("labels"))
 
 
 _PROMPT_SQL = "'### Instruction:' || chr(10) || prompt || chr(10) || chr(10) || '### Response:' || chr(10)"
@@ -138,29 +173,53 @@ def sft_texts(spark, folder):
     return s.select("sample_id", X.prompt_text("prompt").alias("prompt_text"), X.full_text("prompt", "response", "<end>").alias("full_text"))
 
 
-def _masked(spark: SparkSession, folder: str, most: int = 512) -> DataFrame:
+_FULL_SQL = f"(SELECT sample_id, length({_PROMPT_SQL}) AS p, list_transform(string_split(left({_PROMPT_SQL} || response, 512), ''), lambda c: unicode(c)) AS x FROM sft_samples WHERE prompt IS NOT NULL AND response IS NOT NULL)"
+_LABELS_SQL = "list_transform(x, lambda v, i: CASE WHEN i <= p THEN -100 ELSE v END)"
+
+
+def _full_texts(spark: SparkSession, folder: str, most: int = 512) -> DataFrame:
+    """(sample_id, prompt_length, full, own): texts cut to ``most`` code points, and their lengths."""
     s = table(spark, folder, "sft_samples").where("prompt is not null and response is not null")
-    s = s.select("sample_id", F.length(X.prompt_text("prompt")).alias("prompt_length"), T.code_points(X.full_text("prompt", "response")).alias("full"))
-    ids, labels = windows.masked_labels("full", F.col("prompt_length"), most)
-    return s.select("sample_id", ids.alias("input_ids"), labels.alias("labels"))
+    full = F.left(X.full_text("prompt", "response"), F.lit(most))
+    return s.select("sample_id", F.length(X.prompt_text("prompt")).alias("prompt_length"), full.alias("full"), F.length(full).alias("own"))
 
 
-@query(f"""WITH s AS (SELECT sample_id, length({_PROMPT_SQL}) AS p, length({_PROMPT_SQL} || response) AS n FROM sft_samples WHERE prompt IS NOT NULL AND response IS NOT NULL)
-    SELECT sample_id, least(n, 512) AS tokens, least(p, n, 512) AS masked, p >= least(n, 512) AS trains_nothing FROM s""")
+def _masked(texts: DataFrame, most: int = 512) -> DataFrame:
+    s = texts.withColumn("tokens", T.code_points("full")).drop("full")
+    ids, labels = windows.masked_labels("tokens", F.col("prompt_length"), most)
+    return s.withColumn("input_ids", ids).withColumn("labels", labels)
+
+
+@query(f"""SELECT sample_id, len(x) AS tokens, len(list_filter({_LABELS_SQL}, lambda v: v = -100)) AS masked, p >= len(x) AS trains_nothing,
+    {_weighted_sql("x")} AS inputs, {_weighted_sql(_LABELS_SQL)} AS targets FROM {_FULL_SQL}""")
 def sft_masked(spark, folder):
     ignored = F.size(F.filter("labels", lambda x: x == windows.IGNORED)).cast("bigint")
-    return _masked(spark, folder).select("sample_id", F.size("input_ids").cast("bigint").alias("tokens"), ignored.alias("masked"), windows.trains_nothing("labels").alias("trains_nothing"))
+    return _masked(_full_texts(spark, folder)).select("sample_id", F.size("input_ids").cast("bigint").alias("tokens"), ignored.alias("masked"), windows.trains_nothing("labels").alias("trains_nothing"), _weighted("input_ids").alias("inputs"), _weighted("labels").alias("targets"))
 
 
-@query(f"""WITH s AS (SELECT sample_id, least(length({_PROMPT_SQL} || response), 512) AS n, (row_number() OVER (ORDER BY sample_id) - 1) AS r
-      FROM sft_samples WHERE prompt IS NOT NULL AND response IS NOT NULL)
-    SELECT sample_id, (r // 8)::BIGINT AS batch_id, (r % 8)::BIGINT AS row, max(n) OVER (PARTITION BY r // 8) AS width, max(n) OVER (PARTITION BY r // 8) - n AS padding FROM s""")
+@query(f"""WITH s AS (SELECT sample_id, p, x, row_number() OVER (ORDER BY sample_id) - 1 AS r FROM {_FULL_SQL}),
+    w AS (SELECT *, max(len(x)) OVER (PARTITION BY r // 8) AS width FROM s)
+    SELECT sample_id, (r // 8)::BIGINT AS batch_id, (r % 8)::BIGINT AS row, width, width - len(x) AS padding,
+      {_weighted_sql("x")} AS inputs, {_weighted_sql(_LABELS_SQL)} - 100 * ((width * (width + 1) - len(x) * (len(x) + 1)) // 2)::BIGINT AS targets FROM w""")
 def padded_batches(spark, folder):
-    padded = windows.padded(windows.numbered_batches(_masked(spark, folder).withColumn("own", F.size("input_ids")), "sample_id", 8))
-    return padded.select("sample_id", "batch_id", "row", F.size("labels").cast("bigint").alias("width"), (F.size("input_ids") - F.col("own")).cast("bigint").alias("padding"))
+    # texts are numbered and get their widths before they become arrays of numbers
+    numbered = windows.with_width(windows.numbered_batches(_full_texts(spark, folder), "sample_id", 8), "own")
+    padded = windows.padded(_masked(numbered), width="width")
+    padding = (F.size("input_ids") - F.col("own")).cast("bigint")
+    return padded.select("sample_id", "batch_id", "row", F.size("labels").cast("bigint").alias("width"), padding.alias("padding"), _weighted("input_ids").alias("inputs"), _weighted("labels").alias("targets"))
 
 
-@query()
+@query("""WITH s AS (SELECT sample_id, prompt, row_number() OVER (ORDER BY sample_id) - 1 AS place, count(*) OVER () AS samples FROM sft_samples WHERE prompt IS NOT NULL AND response IS NOT NULL)
+    SELECT samples, place, sample_id, prompt FROM s WHERE place IN (0, 17, samples - 1)""")
+def samples_by_index(spark, folder):
+    """Length of the dataset with its first, eighteenth and last sample."""
+    s = table(spark, folder, "sft_samples").where("prompt is not null and response is not null").select("sample_id", "prompt")
+    return windows.items(s, "sample_id", [0, 17, -1])
+
+
+@query("""WITH s AS (SELECT sample_id, ('0x' || left(md5(sample_id::VARCHAR || ':42'), 15))::BIGINT AS h FROM sft_samples),
+    n AS (SELECT sample_id, row_number() OVER (ORDER BY h, sample_id) - 1 AS r FROM s)
+    SELECT sample_id, (r // 8)::BIGINT AS batch_id, (r % 8)::BIGINT AS row FROM n""")
 def shuffled_batches(spark, folder):
     s = table(spark, folder, "sft_samples").select("sample_id", windows.seeded("sample_id").alias("at"))
     return windows.numbered_batches(s, "at", 8, ("sample_id",)).select("sample_id", "batch_id", "row")
@@ -172,19 +231,10 @@ def byte_pair_counts(spark, folder):
     return docs.select("doc_id", F.size("t").alias("tokens"), T.out_of_range(F.col("t"), 50_257).alias("out_of_range"))
 
 
-@query(r"""SELECT sample_id, json_extract_string(line, '$.prompt') AS prompt, json_extract_string(line, '$.response') AS response FROM
-      (SELECT sample_id, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' AND NOT contains(line, '\u') AND NOT regexp_matches(line, ',\s*\}\s*$') THEN line END AS line FROM sft_raw)
-    WHERE json_extract_string(line, '$.prompt') IS NOT NULL AND json_extract_string(line, '$.response') IS NOT NULL""")
-def parsed_jsonl(spark, folder):
-    found = parsed_records(table(spark, folder, "sft_raw").where(~F.contains("line", F.lit("\\u"))))
-    return found.where("prompt is not null and response is not null").select("sample_id", "prompt", "response")
-
-
 @query(r"""SELECT sample_id, json_extract_string(line, '$.prompt') AS prompt, json_extract_string(line, '$.response') AS response FROM
       (SELECT sample_id, CASE WHEN json_valid(line) AND json_type(line) = 'OBJECT' AND NOT regexp_matches(line, ',\s*\}\s*$') THEN line END AS line FROM sft_raw)
     WHERE json_extract_string(line, '$.prompt') IS NOT NULL AND json_extract_string(line, '$.response') IS NOT NULL""")
-def parsed_jsonl_all(spark, folder):
-    """All lines; parsed_jsonl and its SQL leave out those with an escape by code."""
+def parsed_jsonl(spark, folder):
     return parsed_records(table(spark, folder, "sft_raw")).where("prompt is not null and response is not null").select("sample_id", "prompt", "response")
 
 
@@ -217,9 +267,13 @@ def models_for_experiment(spark, folder):
     return found.select("experiment_id", "id", "name", "registered_at")
 
 
-@query("SELECT id, name, registered_at FROM registered_models WHERE experiment_id = 7 ORDER BY registered_at DESC, id DESC")
+@query("""SELECT id, name, registered_at FROM registered_models WHERE experiment_id =
+      (SELECT experiment_id FROM registered_models WHERE experiment_id IS NOT NULL GROUP BY experiment_id ORDER BY count(*) DESC, experiment_id LIMIT 1) ORDER BY registered_at DESC, id DESC""")
 def models_of_one_experiment(spark, folder):
-    models = registry.where_equal(table(spark, folder, "registered_models"), experiment_id=7)
+    """Of the experiment with most models."""
+    models = table(spark, folder, "registered_models")
+    most = models.where("experiment_id is not null").groupBy("experiment_id").count().orderBy(F.desc("count"), "experiment_id").first()
+    models = registry.where_equal(models, experiment_id=most.experiment_id if most else -1)
     return models.orderBy(F.desc("registered_at"), F.desc("id")).select("id", "name", "registered_at")
 
 
@@ -238,26 +292,12 @@ def latest_status(spark, folder):
     return registry.latest(table(spark, folder, "events"), "user_id", "event_type", ["ts", "event_id"]).select("user_id", F.col("event_type").alias("status"))
 
 
-@query("""WITH b AS (SELECT e.id, j.key, try_cast(j.value AS DOUBLE) AS value, -1 AS seq FROM experiments e, json_each(e.metrics) j),
-    first AS (SELECT name, min(id) AS id FROM experiments GROUP BY name),
-    p AS (SELECT f.id, m.key, m.value, m.seq FROM metric_log m JOIN first f ON f.name = m.run WHERE m.key LIKE 'eval/%'),
-    a AS (SELECT *, row_number() OVER (PARTITION BY id, key ORDER BY seq DESC) AS r FROM (SELECT * FROM b UNION ALL SELECT * FROM p))
-    SELECT id, key, CASE WHEN isnan(value) OR isinf(value) THEN NULL ELSE value END AS value FROM a WHERE r = 1""")
-def metrics_merge(spark, folder):
-    experiments = table(spark, folder, "experiments")
-    base = registry.json_entries(experiments, "id", "metrics").withColumnRenamed("name", "key")
-    first = experiments.groupBy("name").agg(F.min("id").alias("id")).withColumnRenamed("name", "run")
-    patches = table(spark, folder, "metric_log").where("key like 'eval/%'").join(first, "run")
-    return registry.merged_metrics(base, patches).select("id", "key", metrics.finite("value").alias("value"))
-
-
 @query("""WITH b AS (SELECT e.id, j.key, try_cast(j.value AS DOUBLE) AS value, -1 AS seq FROM experiments e, json_each(e.metrics) j),
     first AS (SELECT name, min(id) AS id FROM experiments GROUP BY name),
     p AS (SELECT f.id, m.key, m.value, m.seq FROM metric_log m JOIN first f ON f.name = m.run),
     a AS (SELECT *, row_number() OVER (PARTITION BY id, key ORDER BY seq DESC) AS r FROM (SELECT * FROM b UNION ALL SELECT * FROM p))
     SELECT id, key, CASE WHEN isnan(value) OR isinf(value) THEN NULL ELSE value END AS value FROM a WHERE r = 1""")
-def metrics_merge_all(spark, folder):
-    """All keys of the log; metrics_merge and its SQL take those of eval/ only."""
+def metrics_merge(spark, folder):
     experiments = table(spark, folder, "experiments")
     base = registry.json_entries(experiments, "id", "metrics").withColumnRenamed("name", "key")
     first = experiments.groupBy("name").agg(F.min("id").alias("id")).withColumnRenamed("name", "run")
@@ -288,6 +328,76 @@ def stage_of_version(spark, folder):
     return registry.latest(_versions(spark, folder), ["name", "version"], "stage", ["id"]).where("version = '3'").select("name", "stage")
 
 
+@query(f"""{_VERSIONS_SQL}, l AS (SELECT name, coalesce(max(try_cast(version AS BIGINT)), 0) AS last FROM v GROUP BY name),
+    n AS (SELECT id, name, row_number() OVER (PARTITION BY name ORDER BY id) AS r FROM registered_models WHERE experiment_id IN (SELECT id FROM experiments))
+    SELECT n.id, n.name, (l.last + n.r)::VARCHAR AS version FROM n JOIN l ON l.name IS NOT DISTINCT FROM n.name""")
+def registered_version(spark, folder):
+    """Every model with an experiment is registered once more: each gets the next version of its name."""
+    new = registry.with_parent(table(spark, folder, "registered_models"), table(spark, folder, "experiments"), "experiment_id").select("id", "name")
+    return registry.registered(_versions(spark, folder), new, "id")
+
+
+_CHANGES_SQL = """c AS (SELECT name, version, stage, id AS seq FROM (SELECT id, name, (1 + id % 4)::VARCHAR AS version, CASE id % 3 WHEN 0 THEN 'Staging' WHEN 1 THEN 'Production' END AS stage FROM registered_models))"""
+
+
+@query(f"""{_VERSIONS_SQL}, {_CHANGES_SQL},
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, version ORDER BY seq DESC) AS r FROM c WHERE name IS NOT NULL) WHERE r = 1)
+    SELECT v.id, v.name, v.version, CASE WHEN k.seq IS NOT NULL THEN k.stage ELSE v.stage END AS stage FROM v LEFT JOIN k ON k.name = v.name AND k.version = v.version""")
+def staged_version(spark, folder):
+    """Stages after a log of changes, of which the last of a version holds."""
+    return registry.staged(_versions(spark, folder), _stage_changes(spark, folder))[0]
+
+
+@query(f"""{_VERSIONS_SQL}, {_CHANGES_SQL} SELECT name, version, seq FROM c WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.name = c.name AND v.version = c.version)""")
+def staged_missing(spark, folder):
+    """Changes of versions that aren't there."""
+    return registry.staged(_versions(spark, folder), _stage_changes(spark, folder))[1].select("name", "version", "seq")
+
+
+def _stage_changes(spark: SparkSession, folder: str) -> DataFrame:
+    stage = F.when(F.col("id") % 3 == 0, "Staging").when(F.col("id") % 3 == 1, "Production")
+    return table(spark, folder, "registered_models").select("name", (1 + F.col("id") % 4).cast("string").alias("version"), stage.alias("stage"), F.col("id").alias("seq"))
+
+
+def _status_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """A log of status changes: the events, as if their users were experiments."""
+    return table(spark, folder, "events").select(F.col("user_id").cast("bigint").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"))
+
+
+@query("""WITH k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1)
+    SELECT e.id, CASE WHEN k.event_id IS NOT NULL THEN k.event_type ELSE e.status END AS status, CASE WHEN k.event_id IS NOT NULL THEN k.ts ELSE e.updated_at END AS updated_at
+    FROM experiments e LEFT JOIN k ON k.user_id = e.id""")
+def status_update(spark, folder):
+    """Experiments after a log of status changes: the last one holds, and its time."""
+    return registry.updated(table(spark, folder, "experiments"), _status_changes(spark, folder), "status")[0].select("id", "status", "updated_at")
+
+
+@query("SELECT user_id::BIGINT AS id, event_id AS seq FROM events WHERE user_id NOT IN (SELECT id FROM experiments)")
+def status_update_missing(spark, folder):
+    """Changes of experiments that aren't there."""
+    return registry.updated(table(spark, folder, "experiments"), _status_changes(spark, folder), "status")[1].select("id", "seq")
+
+
+@query("""WITH b AS (SELECT e.id, j.key, try_cast(j.value AS DOUBLE) AS value, -1 AS seq FROM experiments e, json_each(e.metrics) j),
+    t AS (SELECT experiment_id AS id, id AS seq, metrics FROM registered_models WHERE experiment_id IS NOT NULL AND metrics IS NOT NULL),
+    p AS (SELECT t.id, j.key, try_cast(j.value AS DOUBLE) AS value, t.seq FROM t, json_each(t.metrics) j),
+    a AS (SELECT *, row_number() OVER (PARTITION BY id, key ORDER BY seq DESC) AS r FROM (SELECT * FROM b UNION ALL SELECT * FROM p))
+    SELECT a.id, a.key, a.value FROM a JOIN experiments e ON e.id = a.id WHERE r = 1""")
+def metrics_patch(spark, folder):
+    """Experiments whose metrics are patched by those of their models, read back from the written JSON."""
+    models = table(spark, folder, "registered_models").where("experiment_id is not null and metrics is not null")
+    patches = models.select(F.col("experiment_id").alias("id"), F.from_json("metrics", "map<string,double>").alias("patch"), F.col("id").alias("seq")).where("patch is not null")
+    after = registry.patched_metrics(table(spark, folder, "experiments"), patches)
+    return registry.json_entries(after, "id", "metrics").withColumnRenamed("name", "key")
+
+
+@query("""SELECT item_id, length(passage) BETWEEN 1 AND 99999999 AS text, length(passage) BETWEEN 1 AND 2048 AND (item_id % 5) / 2.0 BETWEEN 0 AND 2 AND (item_id % 7) / 5.0 BETWEEN 0 AND 1 AS valid FROM eval_items""")
+def request_validation(spark, folder):
+    asks = table(spark, folder, "eval_items").select("item_id", F.col("passage").alias("text"), F.length("passage").alias("max_length"), (F.col("item_id") % 5 / 2.0).alias("temperature"), (F.col("item_id") % 7 / 5.0).alias("top_p"))
+    broken = registry.violations(registry.request_rules())
+    return asks.select("item_id", (~F.array_contains(broken, "text")).alias("text"), (F.size(broken) == 0).alias("valid"))
+
+
 @query("""SELECT id, length(name) BETWEEN 1 AND 255 AND coalesce(length(description) <= 1000, true) AND status IN ('created', 'running', 'completed', 'failed', 'cancelled') AS valid FROM experiments""")
 def validation(spark, folder):
     return table(spark, folder, "experiments").select("id", (F.size(registry.violations(registry.experiment_rules())) == 0).alias("valid"))
@@ -348,8 +458,8 @@ def running_best(spark, folder):
 def total_steps(spark, folder):
     number = lambda k, kind: F.expr(f"try_cast(get_json_object(training_config_snapshot, '$.{k}') AS {kind})")
     e = table(spark, folder, "experiments").select("id", number("num_epochs", "bigint").alias("epochs"), number("warmup_ratio", "double").alias("ratio"))
-    total = F.col("epochs") * 1000
-    return e.select("id", total.alias("total"), F.floor(total * F.col("ratio")).cast("bigint").alias("warmup"))
+    total, warmup = metrics.total_steps(F.lit(1000), F.col("epochs"), F.col("ratio"))
+    return e.select("id", total.alias("total"), warmup.alias("warmup"))
 
 
 @query(f"""SELECT range AS step, round(CASE WHEN range < 100 THEN range / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos({math.pi} * ((range - 100) / 900.0))) END, 9)::DOUBLE AS factor FROM range(1000)""")
@@ -393,8 +503,7 @@ def human_number(spark, folder):
 @query("""WITH p AS (SELECT e.id, j.key, j.value ->> '$' AS value FROM experiments e, json_each(e.training_config_snapshot) j)
     SELECT id, key, try_cast(value AS DOUBLE) AS number, CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END AS text FROM p""")
 def param_log(spark, folder):
-    parameters = F.from_json("training_config_snapshot", "map<string,string>")
-    rows = table(spark, folder, "experiments").select("id", F.explode(parameters).alias("key", "value"))
+    rows = sinks.param_rows(table(spark, folder, "experiments"), "id", "training_config_snapshot")
     number = F.expr("try_cast(value AS double)")
     return rows.select("id", "key", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
 
@@ -462,18 +571,33 @@ def cross_entropy(spark, folder):
     return _embeddings(spark, folder).select("vec_id", F.round(N.cross_entropy("x", "label"), 8).alias("loss"))
 
 
-@query(f"""{_X}, u AS (SELECT vec_id, generate_subscripts(x, 1) - 1 AS token, unnest(list_transform(x, lambda v: exp((v - list_max(x)) / 0.05))) AS w FROM e),
+@query(f"""{_X}, l AS (SELECT list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) - x[label + 1] AS loss, vec_id % 3 = 0 AS ignored FROM e)
+    SELECT round(avg(loss) FILTER (NOT ignored), 8) AS loss, count(*) FILTER (NOT ignored) AS n FROM l""")
+def cross_entropy_mean(spark, folder):
+    """The mean over positions whose target isn't ignored."""
+    target = F.when(F.col("vec_id") % 3 == 0, windows.IGNORED).otherwise(F.col("label")).alias("target")
+    losses = _embeddings(spark, folder).select("x", target).select(N.cross_entropy("x", "target").alias("loss"))
+    return losses.agg(F.round(F.avg("loss"), 8).alias("loss"), F.count("loss").alias("n"))
+
+
+_NUCLEUS_SQL = f"""{_X}, u AS (SELECT vec_id, generate_subscripts(x, 1) - 1 AS token, unnest(list_transform(x, lambda v: exp((v - list_max(x)) / 0.05))) AS w FROM e),
     p AS (SELECT vec_id, token, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM u),
-    r AS (SELECT vec_id, token, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS rank, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) AS s FROM p)
-    SELECT vec_id, token, rank FROM r WHERE rank = 1 OR s <= 0.9""")
+    r AS (SELECT vec_id, token, p, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, token) AS rank, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) AS s FROM p)"""
+
+
+@query(f"{_NUCLEUS_SQL} SELECT vec_id, token, rank FROM r WHERE rank = 1 OR s <= 0.9")
 def nucleus(spark, folder):
     kept = sampling.nucleus(_embeddings(spark, folder), "vec_id", "x", 0.9, 0.05)
     return kept.select("vec_id", F.col("token").cast("bigint").alias("token"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
+@query(f"""{_NUCLEUS_SQL}, k AS (SELECT * FROM r WHERE rank = 1 OR s <= 0.9),
+    c AS (SELECT vec_id, token, rank, sum(p) OVER (PARTITION BY vec_id ORDER BY rank ROWS UNBOUNDED PRECEDING) / sum(p) OVER (PARTITION BY vec_id) AS reached,
+      max(rank) OVER (PARTITION BY vec_id) AS last, ('0x' || left(md5(vec_id::VARCHAR || ':42'), 13))::BIGINT / 4503599627370496.0 AS u FROM k)
+    SELECT vec_id, arg_min(token, rank)::BIGINT AS token FROM c WHERE reached > u OR rank = last GROUP BY vec_id""")
 def nucleus_draws(spark, folder):
-    return sampling.drawn(sampling.nucleus(_embeddings(spark, folder), "vec_id", "x", 0.9, 0.05), "vec_id")
+    draws = sampling.drawn(sampling.nucleus(_embeddings(spark, folder), "vec_id", "x", 0.9, 0.05), "vec_id")
+    return draws.select("vec_id", F.col("token").cast("bigint").alias("token"))
 
 
 @query(f"""{_X} SELECT vec_id, round(least(1.0, 0.5 / (sqrt(list_sum(list_transform(x, lambda v: v * v))) + 1e-6)), 8) AS scale,

@@ -22,14 +22,18 @@ def preprocess(spark: SparkSession, source: str, target: str, held_out: tuple[st
 
 
 def training_windows(spark: SparkSession, source: str, length: int, stride: int | None = None, vocabulary: int | None = None) -> DataFrame:
-    """(k, input_ids, labels) of all files of a folder by path; tokens are code points, taken modulo the vocabulary's size where it is given."""
-    files = windows.numbered_batches(text_files(spark, source).withColumn("at", F.lit(0).cast("bigint")), "at", 1, ("path",))
-    tokens = code_points("text")
+    """(k, input_ids, labels) of all files of a folder by path; tokens are code points, taken modulo the vocabulary's size where it is given.
+
+    Paths alone are sorted, by ranges; their place, which grows with the path but has gaps, orders the texts.
+    """
+    files = text_files(spark, source)
+    places = files.select("path").repartitionByRange("path").sortWithinPartitions("path").withColumn("place", F.monotonically_increasing_id())
+    packed = windows.pack_texts(files.join(places, "path"), "place", "text", length, stride)
+    tokens = packed.select("k", code_points("window").alias("tokens"))
     if vocabulary:
-        tokens = F.transform(tokens, lambda t: F.pmod(t, F.lit(vocabulary)))
-    packed = windows.pack_windows(files.select(F.col("batch_id").alias("file"), tokens.alias("tokens")), "file", "tokens", length, stride)
-    ids, labels = windows.next_token_pair("window")
-    return packed.select("k", ids.alias("input_ids"), labels.alias("labels"))
+        tokens = tokens.withColumn("tokens", F.transform("tokens", lambda t: F.pmod(t, F.lit(vocabulary))))
+    ids, labels = windows.next_token_pair("tokens")
+    return tokens.select("k", ids.alias("input_ids"), labels.alias("labels"))
 
 
 def evaluate(samples: DataFrame, weights: dict, config: model.ModelConfig, batch_size: int = 8) -> DataFrame:

@@ -53,6 +53,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def relational(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
-    """A table of a database by JDBC; its driver must be on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+def relational(spark: SparkSession, url: str, name: str, split_by: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 64, **options: str) -> DataFrame:
+    """A table of a database by JDBC; its driver must be on the class path.
+
+    With ``split_by``, a whole-number column, and its ``bounds``, the rows are read in that many parts by as many connections; without, by one.
+    """
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if split_by:
+        if bounds is None:
+            lo, hi = spark.read.format("jdbc").options(url=url, query=f"SELECT min({split_by}) AS lo, max({split_by}) AS hi FROM {name}", **options).load().first()
+            bounds = (int(lo or 0), int(hi or 0))
+        reader = reader.options(partitionColumn=split_by, lowerBound=str(bounds[0]), upperBound=str(bounds[1] + 1), numPartitions=str(parts))
+    return reader.load()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on its own file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def existing(paths: DataFrame, column: str) -> DataFrame:
+    """The rows whose path is there; each distinct folder is listed once, by the driver."""
+    spark = paths.sparkSession
+    folder = F.regexp_extract(column, "^(.*)/[^/]*$", 1)
+    listed = [f"{r[0]}/*" for r in paths.select(folder).where(F.col(column).isNotNull()).distinct().toLocalIterator() if exists(spark, r[0])]
+    if not listed:
+        return paths.limit(0)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(listed).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"))
+    return paths.join(found, F.regexp_replace(column, "^file:/+", "/") == F.col("_path"), "left_semi")

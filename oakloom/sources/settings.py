@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import functools
 import os
 import re
 
@@ -64,5 +65,31 @@ def from_environment(defaults: dict[str, object], env: dict[str, str] | None = N
     return {k: type(v)(_typed(env[k.upper()])) if k.upper() in env and v is not None else env.get(k.upper(), v) for k, v in defaults.items()}
 
 
+def env_file(path: str) -> dict[str, str]:
+    """The settings of a file of KEY=value lines; comments, blank lines, ``export`` and quotes as usual. A missing file has none."""
+    out: dict[str, str] = {}
+    if not os.path.exists(path):
+        return out
+    with open(path, encoding="utf-8") as lines:
+        for line in lines:
+            key, mark, value = line.strip().removeprefix("export ").partition("=")
+            if mark and key.strip() and not key.startswith("#"):
+                value = value.strip()
+                quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+                out[key.strip().upper()] = value[1:-1] if quoted else value.split(" #")[0].rstrip()
+    return out
+
+
+@functools.cache
+def _cached(defaults: tuple, path: str) -> tuple:
+    env = {k.upper(): v for k, v in os.environ.items()}
+    return tuple(from_environment(dict(defaults), env_file(path) | env).items())
+
+
+def settings(defaults: dict[str, object], path: str = ".env") -> dict[str, object]:
+    """Defaults, replaced by those of an .env file, and these by the environment's, whatever the case of their names; read once for the same defaults and path."""
+    return dict(_cached(tuple(defaults.items()), path))
+
+
 def database_url(user: str, password: str, host: str, port: int, name: str, override: str | None = None) -> str:
     return override or f"jdbc:postgresql://{host}:{port}/{name}?user={user}&password={password}"

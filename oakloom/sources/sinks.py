@@ -12,12 +12,55 @@ from pyspark.sql import functions as F
 from oakloom.operators.registry import next_ids, with_parent, without_parent
 
 
-def write_text(lines: DataFrame, path: str, order: list[str], one_file: bool = True) -> None:
-    """Lines in order, replacing what is there. ``one_file`` gives one part file; else parts follow each other by name."""
+def write_text(lines: DataFrame, path: str, order: list[str], one_file: bool = False) -> None:
+    """Lines in order, replacing what is there; parts follow each other by name. ``one_file`` gives one part, for what one task can write."""
     ordered = lines.repartition(1).sortWithinPartitions(*order) if one_file else lines.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("line").write.mode("overwrite").text(path)
 
 
+def join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """The parts of a text folder as one file, by name, without the last line's end: the bytes go from file to file, not through the driver's memory."""
+    files, _ = _files(spark, target)
+    staged = _path(spark, f"{target}_staged_{uuid.uuid4().hex}")
+    parts = sorted((s.getPath() for s in files.listStatus(_path(spark, folder)) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda p: p.getName())
+    out = files.create(staged, True)
+    try:
+        for k, part in enumerate(parts):
+            source = files.open(part)
+            size = files.getFileStatus(part).getLen() - (k == len(parts) - 1)
+            try:
+                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    _move(files, staged, _path(spark, target))
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    conf = spark._jsc.hadoopConfiguration()
+    return _path(spark, path).getFileSystem(conf), conf
+
+
+def _move(files, staged, target) -> None:
+    """Puts what is staged in the target's place. File systems tell a failed rename by its result; what stood there before is put back then."""
+    old = None
+    if files.exists(target):
+        old = target.suffix(f"_old_{uuid.uuid4().hex}")
+        if not files.rename(target, old):
+            raise OSError(f"{target} could not be moved aside")
+    if not files.rename(staged, target):
+        if old is not None and not files.rename(old, target):
+            raise OSError(f"{target} could not be replaced; what it held is in {old}")
+        raise OSError(f"{staged} could not be moved to {target}")
+    if old is not None:
+        files.delete(old, True)
+
+
 def insert(rows: DataFrame, path: str, order: str, ties: tuple[str, ...] = (), defaults: dict[str, object] | None = None) -> DataFrame:
     """Appends rows with ids after the largest one there, missing columns by default, and returns them. One writer at a time."""
     spark = rows.sparkSession
@@ -42,17 +85,16 @@ def insert_children(rows: DataFrame, parents: DataFrame, foreign: str, path: str
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes beside the table and then puts the new one in its place, so that readers never meet half of it."""
-    spark = rows.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    staged, old = (f"{path.rstrip('/')}_{x}_{uuid.uuid4().hex}" for x in ("staged", "old"))
+    """Writes beside the table and then puts the new one in its place, so that readers never meet half of it; a failed move puts the old one back."""
+    staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
     rows.write.parquet(staged)
-    target = hadoop.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(target):
-        files.rename(target, hadoop.Path(old))
-    files.rename(hadoop.Path(staged), target)
-    files.delete(hadoop.Path(old), True)
+    files, _ = _files(rows.sparkSession, path)
+    _move(files, _path(rows.sparkSession, staged), _path(rows.sparkSession, path))
+
+
+def param_rows(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, key, value): the entries of a JSON object column as a run's parameters, each as text."""
+    return rows.select(key, F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))
 
 
 def create_table(spark: SparkSession, name: str, schema: str) -> None:
@@ -77,8 +119,19 @@ class RunLog:
             return False
         return True
 
-    def start(self, config: dict[str, object]) -> int:
-        return self.params(config)
+    def start(self, config: dict[str, object] | None = None, name: str | None = None) -> int:
+        """Writes the run's header and its parameters; the number of stores that took the header."""
+        took = self._status("running", name)
+        if config:
+            self.params(config)
+        return took
+
+    def finish(self, status: str = "finished") -> int:
+        return self._status(status)
+
+    def _status(self, status: str, name: str | None = None) -> int:
+        rows = self.spark.range(1).select(F.lit(self.run).alias("run"), F.lit(name).cast("string").alias("name"), F.lit(status).alias("status"), utc_now().alias("at"))
+        return self._append("runs", rows)
 
     def params(self, values: dict[str, object]) -> int:
         """Number of stores that took the (run, key, value) rows."""
@@ -93,4 +146,18 @@ class RunLog:
         return self._append("checkpoints", self.spark.createDataFrame([(self.run, name, step, best)], "run string, filename string, global_step bigint, best_eval_loss double"))
 
     def artifact(self, local: str, target: str | None = None) -> int:
-        return self._append("artifacts", self.spark.createDataFrame([(self.run, local, target)], "run string, local_path string, artifact_path string"))
+        """Copies a file into each store and notes it there; a store whose copy fails gets no note."""
+        name = "/".join(x for x in (target, local.rstrip("/").rpartition("/")[2]) if x)
+
+        def put(store: str) -> None:
+            files, conf = _files(self.spark, store)
+            self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(_files(self.spark, local)[0], _path(self.spark, local), files, _path(self.spark, f"{store}/artifact_files/{self.run}/{name}"), False, conf)
+            rows = self.spark.createDataFrame([(self.run, local, name)], "run string, local_path string, artifact_path string")
+            rows.write.mode("append").parquet(f"{store}/artifacts")
+
+        return sum(self._try(lambda s=s: put(s)) for s in self.stores)
+
+
+def utc_now():
+    """The present time as UTC, for default columns."""
+    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())

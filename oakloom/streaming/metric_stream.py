@@ -29,7 +29,7 @@ def event_windows(stream: DataFrame, time: str = "ts", late: str = "10 minutes",
 def keep_latest(stream: DataFrame, path: str, checkpoint: str):
     """Starts a query that merges each batch into a table of the last row of each run, key and step; a batch that comes again changes nothing.
 
-    Each batch writes the table's next version, so the table it reads is never the one it writes. Returns the started query.
+    Each batch writes the table's next version, so the table it reads is never the one it writes, and deletes the one before that, which no batch can need again. Returns the started query.
     """
     spark = stream.sparkSession
 
@@ -39,5 +39,8 @@ def keep_latest(stream: DataFrame, path: str, checkpoint: str):
         if number:
             rows = spark.read.parquet(before).select(*rows.columns).unionByName(rows)
         delivered_once(rows).write.mode("overwrite").parquet(f"{path}/version={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,8 +7,11 @@ import os
 import pytest
 
 import __spark_entry__
+from oakloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
+#: Queries that have no rows over the smallest tables.
+EMPTY = {"list_page", "every_n_steps", "register_invalid"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
 
@@ -32,18 +35,21 @@ def ordered(rows):
     return sorted((tuple(map(plain, r)) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, engine, name):
-    found = __spark_entry__.queries()[name](spark, FOLDER)
-    expected = engine.execute(__spark_entry__.oracle_sql()[name])
+    found = catalog.queries()[name](spark, FOLDER)
+    expected = engine.execute(catalog.oracle_sql()[name])
     columns = [c[0] for c in expected.description]
     assert sorted(columns) == sorted(found.columns)
-    assert ordered(found.select(*columns).collect()) == ordered(expected.fetchall())
+    rows = expected.fetchall()
+    assert rows or name in EMPTY
+    assert ordered(found.select(*columns).collect()) == ordered(rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())))
-def test_other_queries_run(spark, name):
-    assert __spark_entry__.queries()[name](spark, FOLDER).count() >= 0
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_other_queries_give_rows_without_nulls(spark, name):
+    rows = catalog.queries()[name](spark, FOLDER).collect()
+    assert rows and not any(v is None for r in rows for v in r)
 
 
 def test_entry(spark):

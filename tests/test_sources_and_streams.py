@@ -66,7 +66,7 @@ def test_run_log_and_checkpoints(spark, tmp_path):
     store = str(tmp_path / "store")
     log = sinks.RunLog(spark, "r", [store, "nosuchscheme://x/y"])
     assert log.start({"lr": 0.1, "name": "x"}) == 1 and log.metrics({"loss": 1.5, "ppl": 2.0}, 10, 1) == 1
-    assert log.checkpoint(10, None) == 1 and log.artifact("a.pt") == 1 and log.checkpoint(20, 0.5, "best_model.pt") == 1
+    assert log.checkpoint(10, None) == 1 and log.checkpoint(20, 0.5, "best_model.pt") == 1
     assert {tuple(r) for r in spark.read.parquet(store + "/metrics").collect()} == {("r", "loss", 1.5, 10, 1), ("r", "ppl", 2.0, 10, 2)}
     assert {(r.filename, r.global_step, r.best_eval_loss) for r in files.checkpoints(spark, store + "/checkpoints").collect()} == {("checkpoint_step_10.pt", 10, float("inf")), ("best_model.pt", 20, 0.5)}
 

@@ -17,7 +17,7 @@ def test_escaped_lines_are_parsed(spark, tmp_path):
     broken = ["", '{"prompt": "\\u00fc", "response": "b"', '{"prompt": "\\u00fc"}', '["\\u00fc"]', '{"prompt": null, "response": "\\u00fc"}', '{"prompt": "\\u00zz", "response": "b"}']
     rows = list(enumerate(lines + broken))
     spark.createDataFrame(rows, "sample_id bigint, line string").write.parquet(f"{tmp_path}/sft_raw.parquet")
-    found = __spark_entry__.queries()["parsed_jsonl_all"](spark, str(tmp_path)).collect()
+    found = __spark_entry__.queries()["parsed_jsonl"](spark, str(tmp_path)).collect()
     expected = {k: (x["prompt"], x["response"]) for k, x in enumerate(map(json.loads, lines))}
     assert {r.sample_id: (r.prompt, r.response) for r in found} == expected and len(found) == len(expected)
 
@@ -50,5 +50,5 @@ def test_all_keys_are_merged(spark, tmp_path):
     spark.createDataFrame([(1, "a", '{"train/loss": 3.0, "eval/loss": 2.0}'), (2, "a", None), (3, "b", "{}")], "id bigint, name string, metrics string").write.parquet(f"{tmp_path}/experiments.parquet")
     log = [("a", "train/loss", 1.0, 1), ("a", "train/loss", None, 2), ("a", "eval/loss", 0.5, 3), ("b", "train/lr", 0.1, 4), ("b", "train/lr", 0.2, 5), ("c", "train/lr", 9.0, 6)]
     spark.createDataFrame(log, "run string, key string, value double, seq bigint").write.parquet(f"{tmp_path}/metric_log.parquet")
-    found = {(r.id, r.key): r.value for r in __spark_entry__.queries()["metrics_merge_all"](spark, str(tmp_path)).collect()}
+    found = {(r.id, r.key): r.value for r in __spark_entry__.queries()["metrics_merge"](spark, str(tmp_path)).collect()}
     assert found == {(1, "train/loss"): None, (1, "eval/loss"): 0.5, (3, "train/lr"): 0.2}
