@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -22,9 +23,13 @@ def code_points(text: Column | str, max_length: int | None = None) -> Column:
     A batch of texts is read as UTF-32 in Arrow; splitting into characters in the JVM makes a string and a boxed number of each.
     """
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def points(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32))
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def points(texts: pa.Array) -> pa.Array:
+        found = texts.to_pylist()
+        ends = np.zeros(len(found) + 1, np.int32)
+        np.cumsum([len(t) for t in found], out=ends[1:])
+        flat = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return points(text if max_length is None else F.left(text, F.lit(max_length)))

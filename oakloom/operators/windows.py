@@ -2,35 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IGNORED = -100
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most the key, by halving."""
+def _range_of(key: str, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the key; null for a null key."""
     if not bounds:
-        return F.lit(0)
+        return F.when(F.col(key).isNotNull(), 0)
 
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        middle = (lo + hi) // 2
-        return F.when(key < bounds[middle], between(lo, middle)).otherwise(between(middle + 1, hi))
+    @F.arrow_udf("int")
+    def place(keys: pa.Array) -> pa.Array:
+        found = np.searchsorted(np.array(bounds, np.int64), keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(found, pa.int32(), mask=keys.is_null().to_numpy(zero_copy_only=False))
 
-    return between(0, len(bounds))
+    return place(F.col(key).cast("bigint"))
 
 
-def offsets(rows: DataFrame, order: str, size: str, ties: tuple[str, ...] = (), buckets: int = 128) -> DataFrame:
+def offsets(rows: DataFrame, order: str, size: str, ties: tuple[str, ...] = (), buckets: int = 1024) -> DataFrame:
     """The rows with ``offset``, the sum of the sizes before each in the order of a whole-number key, then ``ties``.
 
     Keys fall into about ``buckets`` ranges of much the same number of rows, by quantiles; the ranges' sums are summed up in one place, and the rows
     within each range in parallel. So no task sees all rows, unless one key has them all. Null keys come first.
     """
     cuts = rows.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0] or []
-    place = F.when(F.col(order).isNull(), -1).otherwise(_range_of(F.col(order), sorted(set(cuts))))
-    placed = rows.withColumn("_range", place)
+    placed = rows.withColumn("_range", F.coalesce(_range_of(order, sorted({int(c) for c in cuts})), F.lit(-1)))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("_range").agg(F.sum(size).alias("_sum"))
     starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("bigint").alias("_start"))
@@ -110,12 +110,13 @@ def next_token_pair(window: Column | str) -> tuple[Column, Column]:
 def masked_labels(full: Column | str, prompt_length: Column | int, max_length: int) -> tuple[Column, Column]:
     """(input_ids, labels): prompt and response cut to ``max_length``; the prompt's labels are ignored and labels aren't shifted."""
     ids = F.slice(F.col(full) if isinstance(full, str) else full, 1, max_length)
-    return ids, F.transform(ids, lambda x, i: F.when(i < prompt_length, F.lit(IGNORED)).otherwise(x))
+    hidden = F.least(F.lit(prompt_length) if isinstance(prompt_length, int) else prompt_length, F.size(ids))
+    return ids, F.concat(F.array_repeat(F.lit(IGNORED), hidden), F.slice(ids, hidden + 1, F.size(ids) - hidden))
 
 
 def trains_nothing(labels: Column | str) -> Column:
     """Whether all labels are ignored, so that the mean loss is undefined."""
-    return F.forall(labels, lambda x: x == IGNORED)
+    return F.size(F.array_remove(labels, IGNORED)) == 0
 
 
 def numbered_batches(samples: DataFrame, order: str, size: int, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,8 +112,16 @@ def code_point_tokens(spark, folder):
 
 def _weighted(c: Column | str) -> Column:
     """Sum of position times value, positions from 1: it changes with the order."""
-    pairs = F.transform(c, lambda v, i: v.cast("bigint") * (i + 1))
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+    @F.arrow_udf("bigint")
+    def weighted(arrays: pa.Array) -> pa.Array:
+        ends = arrays.offsets.to_numpy().astype(np.int64)
+        flat = arrays.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64)
+        place = np.arange(1, len(flat) + 1) - np.repeat(ends[:-1] - ends[0], np.diff(ends))
+        sums = np.concatenate([[0], np.cumsum(flat * place)])
+        return pa.array(sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]])
+
+    return weighted(c)
 
 
 def _weighted_sql(c: str) -> str:
@@ -129,8 +139,8 @@ def _window_sql(stream: str, length: int, stride: int) -> str:
 
 
 def _window_numbers(packed: DataFrame) -> DataFrame:
-    packed = packed.select("k", T.code_points("window").alias("x"))
-    return packed.select("k", F.size("x").cast("bigint").alias("n"), _weighted("x").alias("weighted"), F.get("x", F.lit(0)).cast("bigint").alias("first"), F.element_at("x", -1).cast("bigint").alias("last"))
+    first, last = F.ascii(F.left("window", F.lit(1))), F.ascii(F.right("window", F.lit(1)))
+    return packed.select("k", F.length("window").cast("bigint").alias("n"), _weighted(T.code_points("window")).alias("weighted"), first.cast("bigint").alias("first"), last.cast("bigint").alias("last"))
 
 
 @query(_window_sql(_STREAM_SQL, 512, 384))
@@ -193,7 +203,7 @@ def _masked(texts: DataFrame, most: int = 512) -> DataFrame:
 @query(f"""SELECT sample_id, len(x) AS tokens, len(list_filter({_LABELS_SQL}, lambda v: v = -100)) AS masked, p >= len(x) AS trains_nothing,
     {_weighted_sql("x")} AS inputs, {_weighted_sql(_LABELS_SQL)} AS targets FROM {_FULL_SQL}""")
 def sft_masked(spark, folder):
-    ignored = F.size(F.filter("labels", lambda x: x == windows.IGNORED)).cast("bigint")
+    ignored = (F.size("labels") - F.size(F.array_remove("labels", windows.IGNORED))).cast("bigint")
     return _masked(_full_texts(spark, folder)).select("sample_id", F.size("input_ids").cast("bigint").alias("tokens"), ignored.alias("masked"), windows.trains_nothing("labels").alias("trains_nothing"), _weighted("input_ids").alias("inputs"), _weighted("labels").alias("targets"))
 
 
