@@ -55,16 +55,21 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return os.path.join(os.environ.get("OAKLOOM_TOKENIZERS", "/opt/tokenizers"), name)
 
 
+def encoder_of(path: str):
+    """The encoder of a byte-pair vocabulary file of ranks."""
+    import tiktoken
+
+    with open(path, "rb") as rows:
+        ranks = {base64.b64decode(a): int(b) for a, b in (row.split() for row in rows)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def byte_pairs(path: str, max_length: int | None = None, end: int | None = None):
     """Column function: tokens of a byte-pair vocabulary file of ranks; ``end`` is appended where given, before the cut."""
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        with open(path, "rb") as rows:
-            ranks = {base64.b64decode(a): int(b) for a, b in (row.split() for row in rows)}
-        encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoder = encoder_of(path)
         for batch in batches:
             tail = [] if end is None else [end]
             yield batch.map(lambda t: (encoder.encode_ordinary(t) if t else []) + tail).map(lambda t: t if max_length is None else t[:max_length])
