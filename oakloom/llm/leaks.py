@@ -9,6 +9,8 @@ extended to both sides in the passage and the document to measure the shared run
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,25 +72,32 @@ class PassageSearch:
         return found
 
 
+def _within(passages: Iterable, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """(item_id, passage) in blocks of at most ``block_chars`` code points; at least one block, an empty one for no passages."""
+    part, size = [], 0
+    for item, text in passages:
+        if part and size + len(text) > block_chars:
+            yield part
+            part, size = [], 0
+        part.append((item, text))
+        size += len(text)
+    yield part
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12, block_chars: int = 32_000_000) -> DataFrame:
     """(doc_id, item_id): the document and the item's passage share a run of at least ``run`` words.
 
-    The documents are scanned once and never shuffled. The search tables are sent to the executors only
-    after their size is measured: of passages with more than ``block_chars`` code points together, blocks
-    within that size are searched one after the other, each in its own scan. A single passage larger than a
-    block makes a block of its own.
+    The documents are never shuffled. Passages go to the executors in blocks of at most ``block_chars`` code points, each searched in a scan
+    of its own; the driver holds one block at a time. A single passage larger than a block makes a block of its own.
     Null, blank and short texts and passages shorter than ``run`` words give no rows; passages that stand
     in several items, or repeated rows, give each pair once per document row. Further columns are ignored.
     """
     spark = documents.sparkSession
     passages = items.where(F.col("passage").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "passage")
-    total = passages.agg(F.coalesce(F.sum(F.length("passage").cast("bigint")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_chars))
     source = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     result = None
-    for block in range(blocks):
-        part = passages if blocks == 1 else passages.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r.item_id, words(r.passage)) for r in part.collect()])
+    for part in _within(passages.toLocalIterator(), block_chars):
+        sent = spark.sparkContext.broadcast([(i, words(t)) for i, t in part])
 
         def start(sent=sent):
             search = PassageSearch(sent.value, run)

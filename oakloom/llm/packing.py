@@ -9,43 +9,25 @@ are closed. The bins of a block that stay underfull are opened again and packed
 
 from __future__ import annotations
 
-import base64
 import bisect
-import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oakloom.functions.tokens import encoder_of, vocabulary_path
 from oakloom.llm.storage import written
 from oakloom.llm.words import map_batches
 
 BLOCK_BITS = 32
 
 
-def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
-    """The path of a public tokenizer's vocabulary on this machine; OAKLOOM_TOKENIZERS names another folder."""
-    return os.path.join(os.environ.get("OAKLOOM_TOKENIZERS", "/opt/tokenizers"), name)
-
-
-# Fixed value: the published pre-tokenizer pattern of the byte-level vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _encoder(path: str):
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, tokens): the number of tokens of each text; nought for null and empty ones."""
 
     def start():
-        encoder = _encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
 
         def work(batch):
             texts = batch.column("text").to_pylist()
@@ -86,15 +68,14 @@ class Bins:
                     bisect.insort(order, left)
                 rooms[left].append(k)
 
-    def improve(self, rounds: int = 3) -> None:
-        """Empties underfull bins, the emptiest first, into the others."""
-        for _ in range(rounds):
+    def improve(self) -> None:
+        """Empties underfull bins, the emptiest first, into the others, until no exchange raises the squared fill; it grows by each, so this ends."""
+        moved = True
+        while moved:
             open_bins = sorted((k for k in range(len(self.bins)) if 0 < self.fill[k] < self.capacity), key=lambda k: self.fill[k])
             moved = False
             for u in open_bins:
                 moved |= self._drain(u, open_bins)
-            if not moved:
-                return
 
     def _drain(self, u: int, others: list[int]) -> bool:
         moved = False
@@ -116,42 +97,53 @@ class Bins:
         return moved
 
     def _exchange(self, u: int, v: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-        """What to take from u and give back from v: the largest gain of v that fits its room."""
+        """What to take from u and give back from v, one or two for none or one: the largest gain of v that fits its room."""
         room = self.capacity - self.fill[v]
         if room <= 0:
             return None
+        mine = np.array(self.bins[u])
+        mine = mine[np.argsort(self.size[mine], kind="stable")]
+        theirs = np.array(self.bins[v])
+        size, back = self.size[mine], np.r_[0, self.size[theirs]]
+        most = (room + back)[:, None]  # of what is taken, for each that is given back
         best, what = 0, None
-        mine, theirs = self.bins[u], self.bins[v]
-        takes = [((i,), int(self.size[i])) for i in mine]
-        if len(mine) <= 24:
-            takes += [((i, j), int(self.size[i] + self.size[j])) for a, i in enumerate(mine) for j in mine[a + 1 :]]
-        gives = sorted([(0, ()), *((int(self.size[i]), (i,)) for i in theirs)])
-        for out, weight in takes:
-            at = bisect.bisect_left(gives, (weight - room, ()))
-            if at < len(gives):
-                gain = weight - gives[at][0]
-                if best < gain <= room:
-                    best, what = gain, (out, gives[at][1])
-        return what
-
-
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The bin of each size, numbered from 0 without gaps."""
+        one = np.searchsorted(size, most[:, 0], side="right") - 1
+        gain = np.where(one >= 0, size[one] - back, 0)
+        if gain.max() > best:
+            g = int(gain.argmax())
+            best, what = int(gain[g]), ((int(mine[one[g]]),), g)
+        if len(mine) > 1 and best < room:
+            # of two, the second is the largest before the first that still fits
+            first = np.arange(1, len(mine))
+            second = np.minimum(np.searchsorted(size, most - size[None, 1:], side="right") - 1, first - 1)
+            gain = np.where(second >= 0, size[None, 1:] + size[second] - back[:, None], 0)
+            gain[gain > room] = 0
+            if gain.max() > best:
+                g, f = np.unravel_index(int(gain.argmax()), gain.shape)
+                what = ((int(mine[f + 1]), int(mine[second[g, f]])), int(g))
+        if what is None:
+            return None
+        return what[0], (int(theirs[what[1] - 1]),) if what[1] else ()
+
+
+def pack(sizes: np.ndarray, capacity: int, search: bool = True) -> np.ndarray:
+    """The bin of each size, numbered from 0 without gaps. Without ``search``, best fit decreasing alone."""
     bins = Bins(sizes, capacity)
-    bins.improve()
+    if search:
+        bins.improve()
     out = np.zeros(len(sizes), np.int64)
     for number, members in enumerate(b for b in bins.bins if b):
         out[members] = number
     return out
 
 
-def _packed_blocks(pieces: DataFrame, capacity: int) -> DataFrame:
+def _packed_blocks(pieces: DataFrame, capacity: int, search: bool) -> DataFrame:
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that AQE doesn't gather these few bytes in one task
 
     def one(table: pa.Table) -> pa.Table:
         order = np.lexsort((table.column("piece_no").to_numpy(), table.column("doc_id").to_numpy()))
         table = table.take(pa.array(order))
-        bins = pack(table.column("tokens").to_numpy(), capacity)
+        bins = pack(table.column("tokens").to_numpy(), capacity, search)
         fill = np.bincount(bins, weights=table.column("tokens").to_numpy(), minlength=1).astype(np.int64)
         sequence = table.column("block").to_numpy() << BLOCK_BITS | bins
         return pa.table({"doc_id": table.column("doc_id"), "piece_no": table.column("piece_no"), "first_token": table.column("first_token"), "tokens": table.column("tokens"), "sequence_id": sequence, "fill": fill[bins]})
@@ -168,9 +160,18 @@ def pack_documents(documents: DataFrame, capacity: int, vocabulary: str | None =
     Repeated rows are packed as documents of their own; further columns are ignored; ties go by doc_id. Blocks
     hold about ``block_items`` pieces at any number of documents; sequences filled under ``good`` go to the second round.
     """
+    return pack_counts(counted(documents, vocabulary), capacity, block_items, good)
+
+
+def counted(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, tokens), written, of the texts that need room; to be packed at several capacities."""
+    return written(token_counts(documents, vocabulary or vocabulary_path()).where("tokens > 0"), "tokens")
+
+
+def pack_counts(counts: DataFrame, capacity: int, block_items: int = 4000, good: float = 0.98, search: bool = True) -> DataFrame:
+    """As ``pack_documents``, from written sizes (doc_id, tokens)."""
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    counts = written(token_counts(documents, vocabulary or tokenizer_file()).where("tokens > 0"), "tokens")
     whole = counts.where(F.col("tokens") >= capacity)
     cut = whole.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("tokens") / capacity) - 1)).alias("piece_no"))
     # full pieces take a block number of their own range, so that their ids meet no other
@@ -180,13 +181,15 @@ def pack_documents(documents: DataFrame, capacity: int, vocabulary: str | None =
     items = rest.count()
     rest = rest.select("doc_id", "piece_no", (F.col("piece_no") * capacity).alias("first_token"), F.col("left").alias("tokens"))
     blocks = max(1, round(items / block_items))
-    first = written(_packed_blocks(rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(blocks))), capacity), "bins")
+    # the row's number in the written table spreads rows of one id
+    own = F.monotonically_increasing_id()
+    first = written(_packed_blocks(rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "tokens", own), F.lit(blocks))), capacity, search), "bins")
     filled = first.where(F.col("fill") >= good * capacity)
     again = first.where(F.col("fill") < good * capacity)
     left = again.count()
     # at most a few bins of each block are underfull unless large documents prevail; those gain nothing from larger blocks
     more = max(1, round(left / (2 * block_items)))
-    second = _packed_blocks(again.withColumn("block", blocks + F.pmod(F.xxhash64("doc_id"), F.lit(more))), capacity)
+    second = _packed_blocks(again.withColumn("block", blocks + F.pmod(F.xxhash64("doc_id", "tokens", own), F.lit(more))), capacity, search)
     columns = ("doc_id", "piece_no", "first_token", "tokens", "sequence_id")
     return full.select(*columns).unionByName(filled.select(*columns)).unionByName(second.select(*columns))
 

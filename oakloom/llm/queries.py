@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from oakloom.llm.defects import response_defects
 from oakloom.llm.leaks import leaked_items
 from oakloom.llm.neardups import near_duplicates, pairs_in_groups, representative_pairs
 from oakloom.llm.overlap import cross_split_overlaps, overlap_report
-from oakloom.llm.packing import pack_documents, packing_report
+from oakloom.llm.packing import counted, pack_counts, pack_documents, packing_report
 from oakloom.llm.quality import not_prose, text_quality
 from oakloom.llm.splitting import split_responses
 from oakloom.llm.storage import table
@@ -72,8 +73,16 @@ def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
-    capacity = _capacity(spark, folder)
-    return packing_report(pack_documents(table(spark, folder, "documents"), capacity), capacity)
+    """For the max_length of every data config: sequences after the search, without it, and the least number possible."""
+    counts = counted(table(spark, folder, "documents"))
+    sizes = sorted({r.max_length for r in table(spark, folder, "data_configs").where("max_length > 0").select("max_length").distinct().collect()})
+
+    def rows(n: int) -> DataFrame:
+        with_search, without = (packing_report(pack_counts(counts, n, search=x), n).withColumn("max_length", F.lit(n)) for x in (True, False))
+        return with_search.join(without.select("max_length", F.col("sequences").alias("without_search")), "max_length")
+
+    each = [rows(n) for n in sizes]
+    return functools.reduce(DataFrame.unionByName, each)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

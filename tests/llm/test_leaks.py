@@ -59,3 +59,12 @@ def test_empty_tables_long_texts_repeats_and_clashing_columns(spark):
     d = spark.createDataFrame([(1, long), (1, long)], DOCS).withColumns({c: F.lit(1) for c in ("item_id", "passage", "lang")})
     got = [tuple(r) for r in leaked_items(d, spark.createDataFrame(items, ITEMS).withColumn("text", F.lit("x"))).collect()]
     assert got == [(1, 3), (1, 3)]
+
+
+def test_blocks_keep_their_bound():
+    from oakloom.llm.leaks import _within
+
+    sizes = [5, 90, 30, 30, 41, 200, 1, 99, 100]
+    blocks = list(_within(((k, "x" * n) for k, n in enumerate(sizes)), 100))
+    assert [k for b in blocks for k, _ in b] == list(range(len(sizes))) and all(sum(len(t) for _, t in b) <= 100 or len(b) == 1 for b in blocks)
+    assert list(_within(iter([]), 100)) == [[]]

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fixtures import sentence
-from oakloom.llm.packing import Bins, pack, pack_documents, packing_report, tokenizer_file, token_counts
+from oakloom.llm.packing import Bins, pack, pack_documents, packing_report, vocabulary_path, token_counts
 
 DOCS = "doc_id bigint, text string"
 
@@ -40,7 +40,7 @@ def documents(seed=1, n=400):
 def test_documents_are_packed_whole(spark):
     rows = documents()
     df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("tokens", "block", "piece_no", "sequence_id", "fill")})
-    counts = [tuple(r) for r in token_counts(df, tokenizer_file()).collect()]
+    counts = [tuple(r) for r in token_counts(df, vocabulary_path()).collect()]
     capacity = 256
     got = pack_documents(df, capacity, block_items=60).toPandas()
     assert (got.groupby("sequence_id").tokens.sum() <= capacity).all()
