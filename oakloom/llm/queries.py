@@ -14,7 +14,7 @@ from oakloom.llm.neardups import near_duplicates, pairs_in_groups, representativ
 from oakloom.llm.overlap import cross_split_overlaps, overlap_report
 from oakloom.llm.packing import counted, pack_counts, pack_documents, packing_report
 from oakloom.llm.quality import not_prose, text_quality
-from oakloom.llm.splitting import split_responses
+from oakloom.llm.splitting import limits_by_path, split_responses
 from oakloom.llm.storage import table
 from oakloom.llm.variants import collapsed, format_variants
 
@@ -59,6 +59,18 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_responses(table(spark, folder, "sft_samples"), table(spark, folder, "data_configs"))
 
 
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample_id, pieces_fit, restored): the text that the pieces make without their overlaps, as an MD5, and whether all are within the limit."""
+    rows = F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "text")))
+    each = p4_pieces(spark, folder).groupBy("sample_id").agg(rows.alias("p"))
+    new = F.transform("p", lambda x, i: F.when(i == 0, x["text"]).otherwise(F.substring(x["text"], F.get(F.col("p"), i - 1)["end"] - x["start"] + 1, F.length(x["text"]))))
+    fits = F.forall("p", lambda x: F.length(x["text"]) == x["end"] - x["start"])
+    limits = limits_by_path(table(spark, folder, "data_configs"))  # six rows
+    limit = table(spark, folder, "sft_samples").join(limits, "path").select("sample_id", "max_length")
+    longest = F.array_max(F.transform("p", lambda x: F.length(x["text"])))
+    return each.join(limit, "sample_id").select("sample_id", (fits & (longest <= F.col("max_length"))).alias("pieces_fit"), F.md5(F.array_join(new, "")).alias("restored"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return response_defects(table(spark, folder, "sft_samples"), table(spark, folder, "common_words"))
 
@@ -98,11 +110,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p3_representatives": p3_representatives, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_sequences": p6_sequences, "p6_report": p6_report, "p7_found": p7_found, "p8_statistics": p8_statistics, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p3_found": p3_found, "p3_groups": p3_groups, "p3_representatives": p3_representatives, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_restored": p4_restored, "p5_found": p5_found, "p6_sequences": p6_sequences, "p6_report": p6_report, "p7_found": p7_found, "p8_statistics": p8_statistics, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_restored": """
+            WITH limits AS (
+              SELECT path, min(max_length) AS max_length FROM (
+                SELECT train_path AS path, max_length FROM data_configs UNION ALL
+                SELECT val_path, max_length FROM data_configs UNION ALL
+                SELECT test_path, max_length FROM data_configs) WHERE max_length > 0 GROUP BY path)
+            SELECT sample_id, true AS pieces_fit, md5(response) AS restored FROM sft_samples JOIN limits USING (path) WHERE length(response) > max_length""",
         "p4_found": """
             WITH limits AS (
               SELECT path, min(max_length) AS max_length FROM (

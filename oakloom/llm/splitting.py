@@ -7,17 +7,31 @@ code points before the cut.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oakloom.llm.words import map_batches
 
-#: Strengths of a gap, by what stands before it.
-PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE, NONE = 5, 4, 3, 2, 1, 0
+#: Strengths of a gap, by what stands before it; a gap within a line end of two, or between a letter and its mark, is the last resort.
+PARAGRAPH, LINE, SENTENCE, CLAUSE, SPACE, NONE, WITHIN = 5, 4, 3, 2, 1, 0, -1
 # Marks that end a sentence or a clause; those of the second list need no space after them.
 SENTENCE_MARKS, WIDE_SENTENCE_MARKS = ".!?…", "。！？"
 CLAUSE_MARKS, WIDE_CLAUSE_MARKS = ",;:", "，；：、"
+CLOSERS = "\"'”’)»]*_"
+
+
+@functools.cache
+def _joined() -> np.ndarray:
+    """Of each code point whether it belongs to the one before: combining marks, selectors, the zero-width joiner."""
+    out = np.zeros(0x110000, bool)
+    for lo, hi in ((0x300, 0x3100), (0xA600, 0xAC00), (0xFB00, 0x1E000), (0x1E000, 0x1F000)):
+        out[lo:hi] = [unicodedata.category(chr(c))[0] == "M" for c in range(lo, hi)]
+    out[0x200D] = out[0x1F3FB:0x1F400] = out[0xE0100:0xE01F0] = True
+    return out
 
 
 def boundary_strengths(text: str) -> np.ndarray:
@@ -28,17 +42,24 @@ def boundary_strengths(text: str) -> np.ndarray:
         return out
     space = np.isin(codes, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
     newline = codes == 10
-    last_mark = np.append(0, codes[:-1])
+    last = np.append(0, codes[:-1])
+    # the mark before closing quotes and brackets
+    mark = last
+    for _ in range(2):
+        mark = np.where(np.isin(mark, [ord(x) for x in CLOSERS]), np.append(0, mark[:-1]), mark)
 
     def of(marks: str, source: np.ndarray) -> np.ndarray:
         return np.isin(source, [ord(x) for x in marks])
 
     after = out[1:]
     after[space] = SPACE
-    after[of(WIDE_CLAUSE_MARKS, codes) | (space & of(CLAUSE_MARKS, last_mark))] = CLAUSE
-    after[of(WIDE_SENTENCE_MARKS, codes) | (space & of(SENTENCE_MARKS, last_mark))] = SENTENCE
+    after[of(WIDE_CLAUSE_MARKS, codes) | (space & of(CLAUSE_MARKS, mark))] = CLAUSE
+    after[of(WIDE_SENTENCE_MARKS, codes) | (space & of(SENTENCE_MARKS, mark))] = SENTENCE
     after[newline] = LINE
-    after[newline & (last_mark == 10)] = PARAGRAPH
+    after[newline & ((last == 10) | (last == 13) & (np.append([0, 0], codes[:-2])[: len(codes)] == 10))] = PARAGRAPH
+    out[:-1][(newline & (last == 13)) | _joined()[codes]] = WITHIN
+    out[1:-1][codes[:-1] == 0x200D] = WITHIN
+    out[0] = NONE
     return out
 
 
@@ -71,14 +92,14 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     overlap = max(0, min(overlap, limit - 1))
     if n <= limit:
         return [(0, n)]
-    strengths = boundary_strengths(text)
-    # the table covers a stretch of many pieces at a time, so that memory doesn't grow with the text
+    # strengths and table cover a stretch of many pieces at a time, so that memory doesn't grow with the text
     stretch = max(32 * limit, 1 << 16)
     out, start, base, table = [], 0, 0, None
     while n - start > limit:
         if table is None or start + limit >= base + table.n:
-            base = start
-            table = StrongestCut(strengths[base : base + stretch + 1])
+            base, before = start, max(0, start - 4)
+            # four code points before and one after show what stands around the stretch's ends
+            table = StrongestCut(boundary_strengths(text[before : base + stretch + 1])[base - before : base - before + stretch + 1])
         cut = base + table.best(start - base + max(overlap + 1, (limit + 1) // 2), start - base + limit)
         out.append((start, cut))
         start = cut - overlap

@@ -56,3 +56,26 @@ def test_limits_come_from_the_config(spark):
     assert all(len(r.text) == r.end - r.start for r in got)
     none = spark.createDataFrame([], SAMPLES)
     assert split_responses(none, spark.createDataFrame(configs, CONFIGS)).count() == split_responses(df, spark.createDataFrame([], CONFIGS)).count() == 0
+
+
+def test_cuts_spare_line_ends_marks_and_closers():
+    assert pieces("abcdefgh\r\nxyz", 9, 0)[0] == (0, 8) and pieces("abcdefge\u0301xyz", 8, 0)[0] == (0, 7) and pieces("abcdef\u200d\U0001f525xyz", 7, 0)[0] == (0, 5)
+    text = 'He said "no." Then he left, and (as it was late.) slept on and on'
+    assert boundary_strengths(text)[14] == boundary_strengths(text)[50] == 3
+    assert pieces("\u0301" * 30, 8, 2)[-1][1] == 30
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab .\n\r,é\u0301", min_size=1, max_size=90), st.integers(2, 12), st.integers(0, 6))
+def test_stretches_cut_as_the_whole(text, limit, overlap):
+    from oakloom.llm import splitting
+
+    def plain():
+        strengths, n, out, start, over = boundary_strengths(text), len(text), [], 0, max(0, min(overlap, limit - 1))
+        while n - start > limit:
+            cut = max(range(start + max(over + 1, (limit + 1) // 2), start + limit + 1), key=lambda k: (strengths[k], k))
+            out.append((start, cut))
+            start = cut - over
+        return [*out, (start, n)]
+
+    assert splitting.pieces(text, limit, overlap) == plain()
