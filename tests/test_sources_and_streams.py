@@ -108,3 +108,21 @@ def test_late_events_are_dropped(spark, tmp_path):
     q.stop()
     assert {(str(r.window_start), r.n, r.total) for r in spark.sql("SELECT * FROM windows").collect()} >= {("2024-01-01 00:00:00", 2, 3.0), ("2024-01-01 02:00:00", 1, 4.0)}
     assert spark.sql("SELECT sum(total) FROM windows WHERE window_start < '2024-01-01 01:00:00'").first()[0] == 3.0
+
+
+def test_a_database_is_read_in_parts(spark):
+    url = "jdbc:derby:memory:oakloom;create=true"
+    try:
+        spark.range(100).selectExpr("id AS ID", "id * 2 AS N").write.format("jdbc").options(url=url, dbtable="T").mode("overwrite").save()
+    except Exception as error:  # no such driver on the class path
+        pytest.skip(str(error)[:80])
+    for options in ({}, {"split_by": "ID", "bounds": (0, 99), "parts": 4}, {"split_by": "ID", "parts": 4}):
+        read = files.relational(spark, url, "T", **options)
+        assert read.count() == 100 and read.rdd.getNumPartitions() == (4 if options else 1)
+
+
+def test_tables_are_created_once(spark):
+    for _ in range(2):
+        sinks.create_table(spark, "made", "id bigint, name string")
+    assert spark.table("made").columns == ["id", "name"]
+    spark.sql("DROP TABLE made")
