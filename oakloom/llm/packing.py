@@ -69,61 +69,82 @@ class Bins:
                 rooms[left].append(k)
 
     def improve(self) -> None:
-        """Empties underfull bins, the emptiest first, into the others, until no exchange raises the squared fill; it grows by each, so this ends."""
+        """Empties underfull bins, the emptiest first, into the others, until no exchange raises the squared fill or no fewer bins can hold the sizes.
+
+        The squared fill grows by each exchange, so this ends.
+        """
+        self.ordered: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.spare = len(self.bins) - -(-int(self.size.sum()) // self.capacity)
         moved = True
-        while moved:
+        while moved and self.spare > 0:
             open_bins = sorted((k for k in range(len(self.bins)) if 0 < self.fill[k] < self.capacity), key=lambda k: self.fill[k])
             moved = False
             for u in open_bins:
                 moved |= self._drain(u, open_bins)
-
-    def _drain(self, u: int, others: list[int]) -> bool:
+                if self.spare <= 0:
+                    return
+
+    def _sorted(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(items, sizes) of a bin by size."""
+        if k not in self.ordered:
+            items = np.array(self.bins[k])
+            items = items[np.argsort(self.size[items], kind="stable")]
+            self.ordered[k] = items, self.size[items]
+        return self.ordered[k]
+
+    def _drain(self, u: int, open_bins: list[int]) -> bool:
+        """Exchanges with the fuller bins, the largest gain first, as long as there is one."""
         moved = False
-        for v in reversed(others):
-            if v == u or not self.bins[u] or not self.fill[v] or self.fill[v] < self.fill[u]:
-                continue
-            while self.bins[u] and (found := self._exchange(u, v)):
-                out, back = found
-                for i in out:
-                    self.bins[u].remove(i)
-                    self.bins[v].append(i)
-                for i in back:
-                    self.bins[v].remove(i)
-                    self.bins[u].append(i)
-                gain = int(self.size[list(out)].sum() - self.size[list(back)].sum() if back else self.size[list(out)].sum())
-                self.fill[v] += gain
-                self.fill[u] -= gain
-                moved = True
+        while self.bins[u]:
+            fuller = [v for v in open_bins if v != u and self.bins[v] and self.fill[u] <= self.fill[v] < self.capacity]
+            found = self._exchange(u, fuller) if fuller else None
+            if found is None:
+                return moved
+            v, out, back = found
+            for i in out:
+                self.bins[u].remove(i)
+                self.bins[v].append(i)
+            for i in back:
+                self.bins[v].remove(i)
+                self.bins[u].append(i)
+            gain = int(self.size[list(out)].sum()) - sum(int(self.size[i]) for i in back)
+            self.fill[v] += gain
+            self.fill[u] -= gain
+            self.ordered.pop(u, None)
+            self.ordered.pop(v, None)
+            moved = True
+        self.spare -= 1
         return moved
 
-    def _exchange(self, u: int, v: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-        """What to take from u and give back from v, one or two for none or one: the largest gain of v that fits its room."""
-        room = self.capacity - self.fill[v]
-        if room <= 0:
-            return None
-        mine = np.array(self.bins[u])
-        mine = mine[np.argsort(self.size[mine], kind="stable")]
-        theirs = np.array(self.bins[v])
-        size, back = self.size[mine], np.r_[0, self.size[theirs]]
-        most = (room + back)[:, None]  # of what is taken, for each that is given back
-        best, what = 0, None
-        one = np.searchsorted(size, most[:, 0], side="right") - 1
+    def _exchange(self, u: int, bins: list[int]) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """(v, what to take from u, what to give back): one or two for none or one; of all bins the largest gain that fits v's room."""
+        mine, size = self._sorted(u)
+        given = [self._sorted(v)[1] for v in bins]
+        counts = np.array([len(x) + 1 for x in given])
+        ends = np.cumsum(counts)
+        back = np.zeros(int(ends[-1]), np.int64)
+        filled = np.ones(len(back), bool)
+        filled[ends - counts] = False
+        back[filled] = np.concatenate(given)
+        room = np.repeat(self.capacity - np.array([self.fill[v] for v in bins]), counts)
+        most = room + back  # of what is taken, for each that is given back
+        one = np.searchsorted(size, most, side="right") - 1
         gain = np.where(one >= 0, size[one] - back, 0)
-        if gain.max() > best:
-            g = int(gain.argmax())
-            best, what = int(gain[g]), ((int(mine[one[g]]),), g)
-        if len(mine) > 1 and best < room:
+        at = int(gain.argmax())
+        best, taken = int(gain[at]), (int(mine[one[at]]),)
+        if len(mine) > 1 and best < room.max():
             # of two, the second is the largest before the first that still fits
             first = np.arange(1, len(mine))
-            second = np.minimum(np.searchsorted(size, most - size[None, 1:], side="right") - 1, first - 1)
+            second = np.minimum(np.searchsorted(size, most[:, None] - size[None, 1:], side="right") - 1, first - 1)
             gain = np.where(second >= 0, size[None, 1:] + size[second] - back[:, None], 0)
-            gain[gain > room] = 0
-            if gain.max() > best:
-                g, f = np.unravel_index(int(gain.argmax()), gain.shape)
-                what = ((int(mine[f + 1]), int(mine[second[g, f]])), int(g))
-        if what is None:
+            g, f = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[g, f] > best:
+                best, at, taken = int(gain[g, f]), int(g), (int(mine[f + 1]), int(mine[second[g, f]]))
+        if best <= 0:
             return None
-        return what[0], (int(theirs[what[1] - 1]),) if what[1] else ()
+        k = int(np.searchsorted(ends, at, side="right"))
+        inside = at - int(ends[k] - counts[k])
+        return bins[k], taken, (int(self._sorted(bins[k])[0][inside - 1]),) if inside else ()
 
 
 def pack(sizes: np.ndarray, capacity: int, search: bool = True) -> np.ndarray:
