@@ -55,12 +55,9 @@ def test_no_machine_local_folder_on_a_cluster(spark):
         storage.shared_folder(Session)
 
 
-def test_dropped_tables_are_gone(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        one = storage.written(spark.range(3), "x")
-        assert one.count() == 3 and len(list(tmp_path.iterdir())) == 1
-        storage.dropped(one)
-        assert not list(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_dropped_tables_are_gone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"file://{tmp_path}")
+    one = storage.written(spark.range(3), "x")
+    assert one.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    storage.dropped(one)
+    assert not list(tmp_path.iterdir())
