@@ -5,7 +5,7 @@
    following segments keeps to the pigeonring's budgets are candidates (rings.py).
 3. The pigeonring filter over bitmaps of all words, which ends with the full Hamming check, prunes them (nearsets.py).
 4. What remains is compared word by word; linked nodes are joined into groups. Keys of large families of similar records are resolved by
-   hubs first, so that a family isn't paired up within itself.
+   hubs, so that a family isn't paired up within itself.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oakloom.llm.nearsets import bit_column, bitmaps, components, few_rows, linked_components, pruned
-from oakloom.llm.rings import hot_nodes, key_rows, ring_candidates, ring_keys
+from oakloom.llm.rings import LARGE, ring_candidates, ring_keys
 from oakloom.llm.storage import dropped, written
-from oakloom.llm.suffixes import mixed, often
+from oakloom.llm.suffixes import often
 from oakloom.llm.words import WordIds, id_array, list_array, list_parts, map_batches, sequence_key, words
 
 
@@ -64,8 +64,8 @@ def _read_sets(lists: DataFrame, threshold: float) -> DataFrame:
         rows = batch.num_rows
         n = np.bincount(owner, minlength=rows)
         some = np.arange(rows) % 8 == 0
-        _, prefix, order = ring_keys(flat[some[owner]], n[some], threshold)
-        key, times = (np.concatenate(x) for x in zip(often(prefix, 0.001, 8), often(mixed(prefix, order), 0.001, 8)))
+        prefix = ring_keys(flat[some[owner]], n[some], threshold)[1]
+        key, times = often(prefix, 0.001, 8)
         key, times = np.append(key, np.uint64(0)).view(np.int64), np.append(times, len(prefix))
         out = {"node": batch.column("node"), "n": pa.array(n), "bits": bit_column(bitmaps(flat, owner, rows))}
         out = {c: pa.concat_arrays([v, pa.nulls(len(key), v.type)]) for c, v in out.items()}
@@ -94,17 +94,16 @@ def linked_nodes(lists: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
     return map_batches(both, compare, "a bigint, b bigint")
 
 
-def near_duplicates(samples: DataFrame, threshold: float = 0.7, share: float = 0.5, most: int = 512) -> DataFrame:
+def near_duplicates(samples: DataFrame, threshold: float = 0.7, most: int = 512) -> DataFrame:
     """(sample_id, group_id, key_a, key_b): each record linked to another, its group and its key as a format variant.
 
     Records are linked when the sets of their words have at least the similarity ``threshold``; groups are
     taken transitively, under a stable id. Records with equal word sets are linked; records without words to none.
     Null prompts and responses count as empty. Repeated rows are records of their own. Further columns are ignored.
     Two records of similarity 0.8 or more have a segment in common from which the chain keeps to its budgets, and nearly all down to the
-    threshold have (rings.py). They meet there, unless so many records hold that segment, and each longer chain of equal segments from it,
-    that its run can't be paired up; records at least the ``share`` of whose keys are such runs are compared with all others of that kind under
-    these keys, by hubs and in blocks. Every link found is exact; recall against brute force is in the README. ``most`` bounds the rows of a
-    key that are paired at once there.
+    threshold have (rings.py). They meet there, however many records hold that segment: runs of equal keys are compared by their chains, and those
+    that hold a large family, or more records than one task's, are resolved by hubs and in blocks. Every link found is exact; recall against brute force is in the README.
+    ``most`` bounds the rows of a key that are paired at once there.
     """
     tokens = written(_tokenised(samples), "tokens", dictionary=4 << 20)
     lists = tokens.where("words is not null").select("node", "words")
@@ -113,21 +112,20 @@ def near_duplicates(samples: DataFrame, threshold: float = 0.7, share: float = 0
     times = sizes.where("node is null").groupBy("key").agg(F.sum("times").alias("times"))
     seen = times.where("key = 0").first()
     sampled = seen.times if seen else 0
-    hot = times.where((F.col("key") != 0) & (F.col("times") > max(64, 0.002 * sampled))).select("key")  # at most 1,000, as each stands for 0.2 % of the keys
+    hot = times.where((F.col("key") != 0) & (F.col("times") > max(LARGE / 8, 0.002 * sampled))).select("key")  # at most 500, as each stands for 0.2 % of the keys
     hot = np.sort(np.array([r.key for r in hot.collect()], np.int64).view(np.uint64))
     found = written(ring_candidates(lists, hot, 8 * sampled, threshold), "found")
     pairs = written(pruned(found.where("b is not null").select("a", "b"), bitmap, threshold), "pairs")
     edges = written(linked_nodes(lists, pairs, threshold), "links")
-    alike = written(hot_nodes(found, bitmap, threshold, share), "alike")
-    if alike.take(1):
-        keys = key_rows(lists.join(few_rows(alike), "node", "left_semi"), threshold)
+    keys = found.where("b is null").select("key", F.col("a").alias("node"), F.lit(0).alias("side"))
+    if keys.take(1):
         labels = linked_components(keys, bitmap, threshold, lambda some: linked_nodes(lists, some, threshold), edges, most)
     else:
         labels = components(edges)
     members = tokens.where("node is not null").select("sample_id", "node", "key_a", "key_b").join(labels.hint("merge"), "node", "left")
     members = written(members.select("sample_id", F.coalesce("label", "node").alias("group_id"), "key_a", "key_b"), "members")
     several = members.groupBy("group_id").agg(F.count("*").alias("size")).where("size > 1").select("group_id")
-    dropped(found, pairs, alike)
+    dropped(found, pairs)
     return members.join(several.hint("merge"), "group_id", "left_semi").select("sample_id", "group_id", "key_a", "key_b")
 
 

@@ -16,14 +16,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from oakloom.llm.nearsets import bitmaps, within_bits
+from oakloom.llm.nearsets import bitmaps, close_rows, within_bits
 from oakloom.llm.suffixes import BITS, NEXT, mixed
 from oakloom.llm.words import list_parts, map_batches
 
-#: Pairs of a run that are compared when its key and 0, 1, 2, 3 or 4 further segments are equal; keys of a bucket; bits of the bitmaps sent there.
-PAIRS, BUCKET, SKETCH = (64, 32, 32, 64, 512), 2_000_000, 256
+#: Pairs up to which runs are paired up together and not one by one; keys of a bucket; bits of the bitmaps sent there; keys of a run that are one task's;
+#: pairs of a run for each of its rows beyond which it is one for hubs.
+PAIRS, BUCKET, SKETCH, LARGE, FAMILY = 1000, 2_000_000, 256, 100_000, 16
 SURE = 0.8
 _LOW = np.uint64((1 << NEXT * BITS) - 1)
 
@@ -103,30 +103,20 @@ def chained(a: np.ndarray, b: np.ndarray, budgets: list[int]) -> np.ndarray:
     return alive
 
 
-def run_pairs(order: np.ndarray, most: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left, right, hot) of sorted ring suffixes: the pairs of each run of equal keys, and the rows of runs too large to be paired up.
+def run_pairs(order: np.ndarray, most: int | tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, large) of sorted ring suffixes: the pairs of each run of equal keys, and the rows of runs of more pairs than ``most``.
 
-    A run of more than most[0] pairs is refined by the next segment, and so on; what is larger at full depth is ``hot``.
+    A large run is given out whole and not refined by equal further segments, as similar sets may differ there within their budgets; its rows are
+    to be compared by chains. ``most``: of several, the smallest.
     """
-    here = np.arange(len(order))
-    lefts, rights = [here[:0]], [here[:0]]
-    for depth, limit in enumerate(most):
-        if not len(here):
-            break
-        value = order[here] >> np.uint64((NEXT - depth) * BITS)
-        start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        length = np.diff(np.r_[start, len(here)])
-        fits = length * (length - 1) // 2 <= limit
-        rank = np.arange(len(here)) - np.repeat(start, length)
-        times = np.where(np.repeat(fits, length), rank, 0)
-        total = int(times.sum())
-        if total:
-            right = np.repeat(np.arange(len(here)), times)
-            left = right - 1 - (np.arange(total) - np.repeat(np.cumsum(times) - times, times))
-            lefts.append(here[left])
-            rights.append(here[right])
-        here = here[np.repeat(~fits, length)]
-    return np.concatenate(lefts), np.concatenate(rights), here
+    value = order >> np.uint64(NEXT * BITS)
+    start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(order)])
+    length = np.diff(np.r_[start, len(order)])
+    fits = np.repeat(length * (length - 1) // 2 <= np.min(most), length)
+    times = np.where(fits, np.arange(len(order)) - np.repeat(start, length), 0)
+    right = np.repeat(np.arange(len(order)), times)
+    left = right - 1 - (np.arange(len(right)) - np.repeat(np.cumsum(times) - times, times))
+    return left, right, np.flatnonzero(~fits)
 
 
 _BLOCK = "bucket int, hot boolean, orders binary, who binary, nodes binary, sizes binary, bits binary"
@@ -135,7 +125,7 @@ _BLOCK = "bucket int, hot boolean, orders binary, who binary, nodes binary, size
 def _blocks(lists: DataFrame, hot: np.ndarray, buckets: int, threshold: float) -> DataFrame:
     """Rows of ``_BLOCK``: of each batch, the ring suffixes of a bucket with a table of their nodes.
 
-    A key that is ``hot`` goes to a bucket by its next segments too; one that is hot at full depth goes to none, its node is counted.
+    A key that is ``hot`` isn't compared in a bucket: it stands in ``orders``, to be resolved by hubs.
     """
     sent = lists.sparkSession.sparkContext.broadcast(hot)
 
@@ -145,11 +135,8 @@ def _blocks(lists: DataFrame, hot: np.ndarray, buckets: int, threshold: float) -
         node, n = batch.column("node").to_numpy(), np.bincount(owner, minlength=batch.num_rows)
         bits = bitmaps(flat, owner, batch.num_rows, SKETCH)
         who, prefix, order = ring_keys(flat, n, threshold)
-        place, full = prefix, np.zeros(len(who), bool)
-        if len(sent.value):
-            often, full = np.isin(prefix, sent.value), np.isin(mixed(prefix, order), sent.value)
-            place = np.where(often, mixed(prefix, order & _LOW), prefix)
-            place = np.where(full, mixed(node[who], 5), place)
+        full = np.isin(prefix, sent.value)
+        place = np.where(full, mixed(node[who], 5), prefix)
         bucket = ((place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         group = bucket * 2 + full
         by = np.argsort(group, kind="stable")
@@ -162,7 +149,7 @@ def _blocks(lists: DataFrame, hot: np.ndarray, buckets: int, threshold: float) -
                 raise ValueError("too many rows in a batch")
             out["bucket"].append(int(group[lo]) >> 1)
             out["hot"].append(bool(group[lo] & 1))
-            out["orders"].append(b"" if group[lo] & 1 else order[part].tobytes())
+            out["orders"].append(order[part].tobytes())
             out["who"].append(local.astype(np.uint16).tobytes())
             out["nodes"].append(node[lines].tobytes())
             out["sizes"].append(np.minimum(n[lines], 65535).astype(np.uint16).tobytes())
@@ -172,11 +159,13 @@ def _blocks(lists: DataFrame, hot: np.ndarray, buckets: int, threshold: float) -
     return map_batches(lists.select("node", "words"), work, _BLOCK)
 
 
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64())])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
 def ring_candidates(lists: DataFrame, hot: np.ndarray, keys: int, threshold: float) -> DataFrame:
-    """(a, b, times): pairs of nodes that meet under a key and whose chains keep to their budgets, times null; and, b null, how often a node's keys were hot.
+    """(a, b, key): pairs of nodes that meet under a key and whose chains keep to their budgets, key null; and, b null, the nodes of keys that are to be resolved by hubs.
+
+    These are the ``hot`` ones and those of more than ``FAMILY`` such pairs for each row.
 
     lists: (node, words), the distinct words of each node; ``keys``: about how many keys they have together.
     """
@@ -191,7 +180,7 @@ def ring_candidates(lists: DataFrame, hot: np.ndarray, keys: int, threshold: flo
             own = np.frombuffer(row["nodes"], np.int64)
             local = np.frombuffer(row["who"], np.uint16).astype(np.int64)
             if row["hot"]:
-                yield own, None, np.bincount(local, minlength=len(own))
+                yield own[local], None, (np.frombuffer(row["orders"], np.uint64) >> np.uint64(NEXT * BITS)).astype(np.int64)
                 continue
             order.append(np.frombuffer(row["orders"], np.uint64))
             who.append(local + seen)
@@ -205,18 +194,43 @@ def ring_candidates(lists: DataFrame, hot: np.ndarray, keys: int, threshold: flo
         by = np.argsort(order, kind="stable")
         order, who = order[by], who[by]
         del by
-        left, right, hot_rows = run_pairs(order, PAIRS)
-        for at in range(0, len(left), 4_000_000):
-            x, y = left[at : at + 4_000_000], right[at : at + 4_000_000]
+
+        def met(x, y):
             keep = chained(order[x], order[y], budgets)
             i, j = who[x[keep]], who[y[keep]]
             fits = within_bits(n, bits, i, j, threshold) & (nodes[i] != nodes[j])
             a, b = nodes[i[fits]], nodes[j[fits]]
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+        left, right, large = run_pairs(order, PAIRS)
+        for at in range(0, len(left), 4_000_000):
+            both = met(left[at : at + 4_000_000], right[at : at + 4_000_000])
+            yield both[0], both[1], None
+        value = order[large] >> np.uint64(NEXT * BITS)
+        first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(value)])
+        marks, most = [(order[large] & _LOW).astype(np.uint32)], np.full(len(large), budgets[-1], np.uint8)
+        sizes = n[who[large]]
+        found, many = [], 0
+        for lo, hi in zip(first.tolist(), np.r_[first[1:], len(value)].tolist()):
+            rows, own, all_pairs = np.arange(lo, hi), [], 0
+            for x, y in close_rows(rows, rows, sizes, marks, most, threshold, within=True):
+                own.append(met(large[x], large[y]))
+                all_pairs += own[-1].shape[1]
+                if all_pairs > FAMILY * (hi - lo):
+                    break
+            if all_pairs > FAMILY * (hi - lo):
+                some = np.unique(nodes[who[large[lo:hi]]])
+                yield some, None, np.full(len(some), value[lo].astype(np.int64))
+                continue
+            found += own
+            many += all_pairs
+            if many > 2_000_000:
+                both = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield both[0], both[1], None
+                found, many = [], 0
+        if many:
+            both = np.unique(np.concatenate(found, axis=1), axis=1)
             yield both[0], both[1], None
-        times = np.bincount(who[hot_rows], minlength=len(nodes))
-        some = np.flatnonzero(times)
-        yield nodes[some], None, times[some]
 
     def scan(batches):
         held, current = [], None
@@ -233,26 +247,4 @@ def ring_candidates(lists: DataFrame, hot: np.ndarray, keys: int, threshold: flo
                 held.append(row)
         yield from flush()
 
-    return _blocks(lists, hot, buckets, threshold).repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, "a bigint, b bigint, times bigint")
-
-
-def hot_nodes(found: DataFrame, sizes: DataFrame, threshold: float, share: float) -> DataFrame:
-    """(node): the nodes at least the share of whose keys were hot. sizes: (node, n)."""
-    times = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("times").alias("times")).join(sizes.select("node", "n").hint("merge"), "node")
-
-    def work(batch):
-        keep = batch.column("times").to_numpy() >= share * keys_of_size(batch.column("n").to_numpy(), threshold)
-        return {"node": batch.column("node").to_numpy()[keep]}
-
-    return map_batches(times, work, "node bigint")
-
-
-def key_rows(lists: DataFrame, threshold: float) -> DataFrame:
-    """(key, node, side): each key of the nodes as a row."""
-
-    def work(batch):
-        flat, owner = list_parts(batch, "words")
-        who, prefix, _ = ring_keys(flat, np.bincount(owner, minlength=batch.num_rows), threshold)
-        return {"key": prefix.view(np.int64), "node": batch.column("node").to_numpy()[who], "side": np.zeros(len(who), np.int32)}
-
-    return map_batches(lists.select("node", "words"), work, "key bigint, node bigint, side int")
+    return _blocks(lists, hot, buckets, threshold).repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, "a bigint, b bigint, key bigint")
