@@ -3,7 +3,7 @@
 1. Each record becomes the set of its distinct words. Records with equal sets form a node; copies cost nothing further.
 2. The words of a node stand on a ring of segments. Nodes with an equal segment meet, and of these those whose chain of
    following segments keeps to the pigeonring's budgets are candidates (rings.py).
-3. The pigeonring filter over bitmaps of all words, which ends with the full Hamming check, prunes them (nearsets.py).
+3. The full Hamming check over sketches of all words, as wide as the sets are large, prunes them where they meet (rings.py).
 4. What remains is compared word by word; linked nodes are joined into groups. Keys of large families of similar records are resolved by
    hubs, so that a family isn't paired up within itself.
 """
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oakloom.llm.nearsets import bit_column, bitmaps, components, few_rows, linked_components, pruned
+from oakloom.llm.nearsets import bit_column, bitmaps, components, few_rows, linked_components
 from oakloom.llm.rings import LARGE, ring_candidates, ring_keys
 from oakloom.llm.storage import dropped, written
 from oakloom.llm.suffixes import often
@@ -56,22 +56,28 @@ def _tokenised(samples: DataFrame) -> DataFrame:
     return map_batches(samples.select("sample_id", "prompt", "response"), start, "sample_id bigint, key_a bigint, key_b bigint, node bigint, words array<bigint>", per_task=True)
 
 
-def _read_sets(lists: DataFrame, threshold: float) -> DataFrame:
-    """Two kinds of rows in one pass: (node, n, bits), the size and bitmap of each node; and, node null, (key, times) of frequent ring keys, of every eighth node."""
+def _key_times(lists: DataFrame, threshold: float) -> DataFrame:
+    """(key, times) of frequent ring keys of every eighth node; key 0 stands for all."""
 
     def work(batch):
         flat, owner = list_parts(batch, "words")
-        rows = batch.num_rows
-        n = np.bincount(owner, minlength=rows)
-        some = np.arange(rows) % 8 == 0
+        n = np.bincount(owner, minlength=batch.num_rows)
+        some = np.arange(batch.num_rows) % 8 == 0
         prefix = ring_keys(flat[some[owner]], n[some], threshold)[1]
         key, times = often(prefix, 0.001, 8)
-        key, times = np.append(key, np.uint64(0)).view(np.int64), np.append(times, len(prefix))
-        out = {"node": batch.column("node"), "n": pa.array(n), "bits": bit_column(bitmaps(flat, owner, rows))}
-        out = {c: pa.concat_arrays([v, pa.nulls(len(key), v.type)]) for c, v in out.items()}
-        return out | {c: pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(v.astype(np.int64))]) for c, v in (("key", key), ("times", times))}
+        return {"key": np.append(key, np.uint64(0)).view(np.int64), "times": np.append(times, len(prefix)).astype(np.int64)}
 
-    return map_batches(lists, work, "node bigint, n bigint, bits binary, key bigint, times bigint")
+    return map_batches(lists, work, "key bigint, times bigint")
+
+
+def _bitmaps(lists: DataFrame) -> DataFrame:
+    """(node, n, bits): the size and bitmap of each node."""
+
+    def work(batch):
+        flat, owner = list_parts(batch, "words")
+        return {"node": batch.column("node"), "n": np.bincount(owner, minlength=batch.num_rows), "bits": bit_column(bitmaps(flat, owner, batch.num_rows))}
+
+    return map_batches(lists, work, "node bigint, n bigint, bits binary").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
 
 
 def linked_nodes(lists: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -101,24 +107,23 @@ def near_duplicates(samples: DataFrame, threshold: float = 0.7, most: int = 512)
     taken transitively, under a stable id. Records with equal word sets are linked; records without words to none.
     Null prompts and responses count as empty. Repeated rows are records of their own. Further columns are ignored.
     Two records of similarity 0.8 or more have a segment in common from which the chain keeps to its budgets, and nearly all down to the
-    threshold have (rings.py). They meet there, however many records hold that segment: runs of equal keys are compared by their chains, and those
+    threshold have (rings.py). They meet there, however many records hold that segment: runs of equal keys are compared by their chains and sketches, and those
     that hold a large family, or more records than one task's, are resolved by hubs and in blocks. Every link found is exact; recall against brute force is in the README.
     ``most`` bounds the rows of a key that are paired at once there.
     """
     tokens = written(_tokenised(samples), "tokens", dictionary=4 << 20)
     lists = tokens.where("words is not null").select("node", "words")
-    sizes = written(_read_sets(lists, threshold), "sizes")
-    bitmap = sizes.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
-    times = sizes.where("node is null").groupBy("key").agg(F.sum("times").alias("times"))
+    times = written(_key_times(lists, threshold), "times").groupBy("key").agg(F.sum("times").alias("times"))
     seen = times.where("key = 0").first()
     sampled = seen.times if seen else 0
     hot = times.where((F.col("key") != 0) & (F.col("times") > max(LARGE / 8, 0.002 * sampled))).select("key")  # at most 500, as each stands for 0.2 % of the keys
     hot = np.sort(np.array([r.key for r in hot.collect()], np.int64).view(np.uint64))
     found = written(ring_candidates(lists, hot, 8 * sampled, threshold), "found")
-    pairs = written(pruned(found.where("b is not null").select("a", "b"), bitmap, threshold), "pairs")
+    pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
     edges = written(linked_nodes(lists, pairs, threshold), "links")
     keys = found.where("b is null").select("key", F.col("a").alias("node"), F.lit(0).alias("side"))
     if keys.take(1):
+        bitmap = written(_bitmaps(lists.join(few_rows(written(keys.select("node").distinct(), "hubs")), "node", "left_semi")), "sizes")
         labels = linked_components(keys, bitmap, threshold, lambda some: linked_nodes(lists, some, threshold), edges, most)
     else:
         labels = components(edges)

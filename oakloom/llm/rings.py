@@ -7,7 +7,7 @@ segments, D being the most words in which two sets up to its largest size differ
 Pigeonring: of D differences on D + 1 segments there is a segment from which, for every l, the first l segments hold at most
 l - 1 of them. That segment is equal in both sets, so its words are the key under which they meet. Sets that differ more, down to the threshold, have in
 proportion more differences on each segment, so chains of l segments are given that budget: the next four segments are tested one by one
-before bitmaps of whole sets are. No pair of similarity SURE or more is lost by that; one between threshold and SURE is where none of its equal segments
+before sketches of whole sets are. No pair of similarity SURE or more is lost by that; one between threshold and SURE is where none of its equal segments
 starts such a chain. A suffix of the ring in one number: 36 bits of its key, then for each of the next four segments the bits that its words set out of seven.
 """
 
@@ -17,15 +17,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from oakloom.llm.nearsets import bitmaps, close_rows, within_bits
+from oakloom.llm.nearsets import close_rows
 from oakloom.llm.suffixes import BITS, NEXT, mixed
 from oakloom.llm.words import list_parts, map_batches
 
-#: Pairs up to which runs are paired up together and not one by one; keys of a bucket; bits of the bitmaps sent there; keys of a run that are one task's;
-#: pairs of a run for each of its rows beyond which it is one for hubs.
-PAIRS, BUCKET, SKETCH, LARGE, FAMILY = 1000, 2_000_000, 256, 100_000, 16
+#: Pairs up to which runs are paired up together and not one by one; keys of a bucket; least and most bits of the sketches sent there; keys of a run that
+#: are one task's; pairs of a run for each of its rows beyond which it is one for hubs.
+PAIRS, BUCKET, SKETCH, WIDEST, LARGE, FAMILY = 1000, 2_000_000, 256, 4096, 100_000, 16
 SURE = 0.8
 _LOW = np.uint64((1 << NEXT * BITS) - 1)
+#: What is sent of a ring suffix: 28 bits of its key, enough within a bucket, and those of the next segments.
+_SENT = np.uint64((1 << 28 + NEXT * BITS) - 1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def size_classes(threshold: float, largest: int) -> np.ndarray:
@@ -49,12 +52,51 @@ def chain_budgets(threshold: float) -> list[int]:
     return [max(length - 1, int(length * more + 1e-9)) if more > 1 else length - 1 for length in range(2, NEXT + 2)]
 
 
+def sketch_widths(ends: np.ndarray) -> np.ndarray:
+    """Bits of the sketches of each class, at least as many as its sets have words (but for WIDEST), as fuller sketches tell little."""
+    return np.clip(1 << np.ceil(np.log2(1.05 * ends)).astype(np.int64), SKETCH, WIDEST)
+
+
+def sketches(flat: np.ndarray, owner: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """(rows, width / 64) of uint64: of each bit, whether an odd number of the set's words fall on it.
+
+    A bit in which two sets differ needs a word that only one of them has, as with bitmaps; but a word that both have hides none.
+    """
+    at = ((flat.astype(np.uint64) * _MIX) >> np.uint64(65 - width.bit_length())).astype(np.int64)
+    out = np.zeros((rows, width // 64), np.uint64)
+    np.bitwise_xor.at(out, (owner, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def within_sketches(sizes: np.ndarray, columns: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) whose sizes and sketches leave the similarity possible; those of 65535 words or more are let through.
+
+    columns: 64 bits of all sketches each. A pair is dropped once those tested so far differ too much.
+    """
+    budget = np.where(sizes == 65535, np.inf, sizes * ((1 - threshold) / (1 + threshold)))
+    most = budget[i] + budget[j] + 1e-6
+    differ = np.zeros(len(i), np.int16)
+    for k, bits in enumerate(columns, 1):
+        differ += np.bitwise_count(bits[i] ^ bits[j])
+        if k % 2 == 0 or k == len(columns):
+            left = np.flatnonzero(differ <= most)
+            i, j, most, differ = i[left], j[left], most[left], differ[left]
+    m, o = sizes[i].astype(np.int64), sizes[j].astype(np.int64)
+    left = (np.minimum(m, o) >= threshold * np.maximum(m, o) - 1e-6) | (np.maximum(m, o) == 65535)
+    return i[left], j[left]
+
+
 def ring_keys(flat: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, prefix, order) of the segments of sets whose distinct words stand one after the other in ``flat``.
 
     Each set is cut by the ring of its class, and by the next larger one's if a set of that class may be similar. prefix: hash of
     class, segment and its words; order: see above.
     """
+    return ring_suffixes(flat, sizes, threshold)[:3]
+
+
+def ring_suffixes(flat: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ring_keys`` and the width of the sketches of each segment's class."""
     ends = size_classes(threshold, int(sizes.max(initial=1)))
     parts = segments_of(ends, threshold)
     own = np.searchsorted(ends, sizes)
@@ -84,7 +126,7 @@ def ring_keys(flat: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np
         # a ring shorter than the chain doesn't meet itself
         follow = bits[begin[ring] + (number + k + 1) % count[ring]]
         order |= np.where(k + 1 < count[ring], follow, 0).astype(np.uint64) << np.uint64((NEXT - 1 - k) * BITS)
-    return set_of[ring], prefix, order
+    return set_of[ring], prefix, order, sketch_widths(ends)[kind[ring]]
 
 
 def keys_of_size(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -96,10 +138,10 @@ def keys_of_size(sizes: np.ndarray, threshold: float) -> np.ndarray:
 
 def chained(a: np.ndarray, b: np.ndarray, budgets: list[int]) -> np.ndarray:
     """Which pairs of ring suffixes with equal keys keep to the budgets of the next segments."""
-    differ = (a ^ b) & _LOW
+    differ = (a ^ b) & a.dtype.type(_LOW)
     alive = np.ones(len(a), bool)
     for length, budget in enumerate(budgets, 1):
-        alive &= np.bitwise_count(differ >> np.uint64((NEXT - length) * BITS)) <= budget
+        alive &= np.bitwise_count(differ >> a.dtype.type((NEXT - length) * BITS)) <= budget
     return alive
 
 
@@ -119,27 +161,27 @@ def run_pairs(order: np.ndarray, most: int | tuple[int, ...]) -> tuple[np.ndarra
     return left, right, np.flatnonzero(~fits)
 
 
-_BLOCK = "bucket int, hot boolean, orders binary, who binary, nodes binary, sizes binary, bits binary"
+_BLOCK = "bucket int, width int, hot boolean, orders binary, who binary, nodes binary, sizes binary, bits binary"
 
 
 def _blocks(lists: DataFrame, hot: np.ndarray, buckets: int, threshold: float) -> DataFrame:
-    """Rows of ``_BLOCK``: of each batch, the ring suffixes of a bucket with a table of their nodes.
+    """Rows of ``_BLOCK``: of each batch, the ring suffixes of a bucket and a width of sketches with a table of their nodes.
 
-    A key that is ``hot`` isn't compared in a bucket: it stands in ``orders``, to be resolved by hubs.
+    ``orders`` has a byte of all of them after the other, from the highest on. A key that is ``hot`` isn't compared in a bucket: its rows are to be resolved by hubs.
     """
     sent = lists.sparkSession.sparkContext.broadcast(hot)
 
     def work(batch):
-        out = {c: [] for c in ("bucket", "hot", "orders", "who", "nodes", "sizes", "bits")}
+        out = {c: [] for c in ("bucket", "width", "hot", "orders", "who", "nodes", "sizes", "bits")}
         flat, owner = list_parts(batch, "words")
         node, n = batch.column("node").to_numpy(), np.bincount(owner, minlength=batch.num_rows)
-        bits = bitmaps(flat, owner, batch.num_rows, SKETCH)
-        who, prefix, order = ring_keys(flat, n, threshold)
+        who, prefix, order, width = ring_suffixes(flat, n, threshold)
+        bits = {}
         full = np.isin(prefix, sent.value)
         place = np.where(full, mixed(node[who], 5), prefix)
         bucket = ((place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        group = bucket * 2 + full
-        by = np.argsort(group, kind="stable")
+        group = (bucket * 2 + full) * 2 * WIDEST + width
+        by = np.lexsort((order & _SENT, group))
         group = group[by]
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
         for lo, hi in zip(first, np.r_[first[1:], len(group)]):
@@ -147,18 +189,28 @@ def _blocks(lists: DataFrame, hot: np.ndarray, buckets: int, threshold: float) -
             lines, local = np.unique(who[part], return_inverse=True)
             if len(lines) > 65535:
                 raise ValueError("too many rows in a batch")
-            out["bucket"].append(int(group[lo]) >> 1)
-            out["hot"].append(bool(group[lo] & 1))
-            out["orders"].append(order[part].tobytes())
+            wide = int(width[part[0]])
+            if wide not in bits:
+                has = np.bincount(who[width == wide], minlength=batch.num_rows) > 0
+                row = np.cumsum(has) - 1
+                bits[wide] = row, sketches(flat[has[owner]], row[owner[has[owner]]], int(has.sum()), wide)
+            out["bucket"].append(int(bucket[part[0]]))
+            out["width"].append(wide)
+            out["hot"].append(bool(full[part[0]]))
+            out["orders"].append((order[part] & _SENT).astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes())
             out["who"].append(local.astype(np.uint16).tobytes())
             out["nodes"].append(node[lines].tobytes())
             out["sizes"].append(np.minimum(n[lines], 65535).astype(np.uint16).tobytes())
-            out["bits"].append(bits[lines].tobytes())
+            out["bits"].append(bits[wide][1][bits[wide][0][lines]].tobytes())
         return out
 
     return map_batches(lists.select("node", "words"), work, _BLOCK)
 
 
+def _orders(sent: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(sent, np.uint8).reshape(8, -1).T).view(">u8")[:, 0].astype(np.uint64)
+
+
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
@@ -180,60 +232,69 @@ def ring_candidates(lists: DataFrame, hot: np.ndarray, keys: int, threshold: flo
             own = np.frombuffer(row["nodes"], np.int64)
             local = np.frombuffer(row["who"], np.uint16).astype(np.int64)
             if row["hot"]:
-                yield own[local], None, (np.frombuffer(row["orders"], np.uint64) >> np.uint64(NEXT * BITS)).astype(np.int64)
+                yield own[local], None, (_orders(row["orders"]) >> np.uint64(NEXT * BITS)).astype(np.int64)
                 continue
-            order.append(np.frombuffer(row["orders"], np.uint64))
-            who.append(local + seen)
+            order.append(_orders(row["orders"]))
+            who.append((local + seen).astype(np.int32))
             nodes.append(own)
             n.append(np.frombuffer(row["sizes"], np.uint16))
-            bits.append(np.frombuffer(row["bits"], np.uint64).reshape(-1, SKETCH // 64))
+            bits.append(np.frombuffer(row["bits"], np.uint64).reshape(-1, row["width"] // 64))
             seen += len(own)
         if not order:
             return
+        bucket_key = held[0]["bucket"] + 1 << 28
+        held.clear()
         order, who, nodes, n, bits = (np.concatenate(x) for x in (order, who, nodes, n, bits))
         by = np.argsort(order, kind="stable")
         order, who = order[by], who[by]
         del by
+        nodes, place = np.unique(nodes, return_inverse=True)
+        bits = [np.ascontiguousarray(x) for x in bits.T]
+
+        def met(x, y, marks, who, sizes, columns, ids):
+            """Pairs of rows that keep to the chain's budgets and to the whole one, each in one number; ids: the nodes of what ``who`` stands for."""
+            keep = chained(marks[x], marks[y], budgets)
+            x, y = within_sketches(sizes, columns, who[x[keep]], who[y[keep]], threshold)
+            a, b = ids[x], ids[y]
+            return (np.minimum(a, b) * len(nodes) + np.maximum(a, b))[a != b]
 
-        def met(x, y):
-            keep = chained(order[x], order[y], budgets)
-            i, j = who[x[keep]], who[y[keep]]
-            fits = within_bits(n, bits, i, j, threshold) & (nodes[i] != nodes[j])
-            a, b = nodes[i[fits]], nodes[j[fits]]
-            return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        def once(found):
+            a, b = np.divmod(np.unique(np.concatenate(found)), len(nodes))
+            return nodes[a], nodes[b], None
 
         left, right, large = run_pairs(order, PAIRS)
-        for at in range(0, len(left), 4_000_000):
-            both = met(left[at : at + 4_000_000], right[at : at + 4_000_000])
-            yield both[0], both[1], None
+        found, many = [], 0
+        for at in range(0, len(left), 1_000_000):
+            found.append(met(left[at : at + 1_000_000], right[at : at + 1_000_000], order, who, n, bits, place))
+        del left, right
         value = order[large] >> np.uint64(NEXT * BITS)
         first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]][: len(value)])
-        marks, most = [(order[large] & _LOW).astype(np.uint32)], np.full(len(large), budgets[-1], np.uint8)
-        sizes = n[who[large]]
-        found, many = [], 0
         for lo, hi in zip(first.tolist(), np.r_[first[1:], len(value)].tolist()):
-            rows, own, all_pairs = np.arange(lo, hi), [], 0
-            for x, y in close_rows(rows, rows, sizes, marks, most, threshold, within=True):
-                own.append(met(large[x], large[y]))
-                all_pairs += own[-1].shape[1]
+            some = large[lo:hi]
+            some = some[np.argsort(n[who[some]], kind="stable")]
+            rows, at = np.arange(hi - lo), who[some]
+            # copies of the run's own, which stay in a processor's cache
+            marks, ids, sizes, columns = (order[some] & _LOW).astype(np.uint32), place[at], n[at], [x[at] for x in bits]
+            own, all_pairs = [], 0
+            for x, y in close_rows(rows, rows, sizes, [marks], np.full(len(rows), budgets[-1], np.uint8), threshold, within=True):
+                own.append(met(x, y, marks, rows, sizes, columns, ids))
+                all_pairs += len(own[-1])
                 if all_pairs > FAMILY * (hi - lo):
                     break
             if all_pairs > FAMILY * (hi - lo):
-                some = np.unique(nodes[who[large[lo:hi]]])
-                yield some, None, np.full(len(some), value[lo].astype(np.int64))
+                ids = np.unique(ids)
+                yield nodes[ids], None, np.full(len(ids), value[lo].astype(np.int64) + bucket_key)
                 continue
             found += own
             many += all_pairs
             if many > 2_000_000:
-                both = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield both[0], both[1], None
+                yield once(found)
                 found, many = [], 0
-        if many:
-            both = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield both[0], both[1], None
+        if found:
+            yield once(found)
 
     def scan(batches):
-        held, current = [], None
+        held, current = [], (None, None)
 
         def flush():
             for columns in bucket_rows(held):
@@ -241,10 +302,10 @@ def ring_candidates(lists: DataFrame, hot: np.ndarray, keys: int, threshold: flo
 
         for batch in batches:
             for row in batch.to_pylist():
-                if row["bucket"] != current:
+                if (row["bucket"], row["width"]) != current:
                     yield from flush()
-                    held, current = [], row["bucket"]
+                    held, current = [], (row["bucket"], row["width"])
                 held.append(row)
         yield from flush()
 
-    return _blocks(lists, hot, buckets, threshold).repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, "a bigint, b bigint, key bigint")
+    return _blocks(lists, hot, buckets, threshold).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "width").mapInArrow(scan, "a bigint, b bigint, key bigint")
