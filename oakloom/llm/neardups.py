@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oakloom.llm.nearsets import bit_column, bitmaps, components, few_rows, linked_components
-from oakloom.llm.rings import LARGE, ring_candidates, ring_keys
+from oakloom.llm.rings import DEALT_BY, DEALT_SIZE, LARGE, dealt_words, ring_candidates, ring_suffixes
 from oakloom.llm.storage import dropped, written
 from oakloom.llm.suffixes import often
 from oakloom.llm.words import WordIds, id_array, list_array, list_parts, map_batches, sequence_key, words
@@ -56,14 +56,23 @@ def _tokenised(samples: DataFrame) -> DataFrame:
     return map_batches(samples.select("sample_id", "prompt", "response"), start, "sample_id bigint, key_a bigint, key_b bigint, node bigint, words array<bigint>", per_task=True)
 
 
-def _key_times(lists: DataFrame, threshold: float) -> DataFrame:
+def _dealt(lists: DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """The segments of frequent words, from about ``DEALT_BY`` of the nodes; which these are makes keys rarer or more frequent, not results."""
+    one_in = max(1, lists.count() // DEALT_BY)
+    some = lists.where((F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0) & (F.size("words") <= DEALT_SIZE)).limit(2 * DEALT_BY).select("words").toArrow()
+    words = some.column("words").combine_chunks()
+    return dealt_words(words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), threshold) if len(words) else None
+
+
+def _key_times(lists: DataFrame, dealt: tuple[np.ndarray, np.ndarray] | None, threshold: float) -> DataFrame:
     """(key, times) of frequent ring keys of every eighth node; key 0 stands for all."""
+    sent = lists.sparkSession.sparkContext.broadcast(dealt)
 
     def work(batch):
         flat, owner = list_parts(batch, "words")
         n = np.bincount(owner, minlength=batch.num_rows)
         some = np.arange(batch.num_rows) % 8 == 0
-        prefix = ring_keys(flat[some[owner]], n[some], threshold)[1]
+        prefix = ring_suffixes(flat[some[owner]], n[some], threshold, sent.value)[1]
         key, times = often(prefix, 0.001, 8)
         return {"key": np.append(key, np.uint64(0)).view(np.int64), "times": np.append(times, len(prefix)).astype(np.int64)}
 
@@ -113,12 +122,13 @@ def near_duplicates(samples: DataFrame, threshold: float = 0.7, most: int = 512)
     """
     tokens = written(_tokenised(samples), "tokens", dictionary=4 << 20)
     lists = tokens.where("words is not null").select("node", "words")
-    times = written(_key_times(lists, threshold), "times").groupBy("key").agg(F.sum("times").alias("times"))
+    dealt = _dealt(lists, threshold)
+    times = written(_key_times(lists, dealt, threshold), "times").groupBy("key").agg(F.sum("times").alias("times"))
     seen = times.where("key = 0").first()
     sampled = seen.times if seen else 0
     hot = times.where((F.col("key") != 0) & (F.col("times") > max(LARGE / 8, 0.002 * sampled))).select("key")  # at most 500, as each stands for 0.2 % of the keys
     hot = np.sort(np.array([r.key for r in hot.collect()], np.int64).view(np.uint64))
-    found = written(ring_candidates(lists, hot, 8 * sampled, threshold), "found")
+    found = written(ring_candidates(lists, hot, 8 * sampled, threshold, dealt), "found")
     pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
     edges = written(linked_nodes(lists, pairs, threshold), "links")
     keys = found.where("b is null").select("key", F.col("a").alias("node"), F.lit(0).alias("side"))

@@ -2,7 +2,8 @@
 
 Sets of m and n words whose similarity is at least t differ in at most (m + n)(1 - t)/(1 + t) words. Sets are put into
 classes by size, such that those of similarity ``threshold`` are of one class or of neighbouring ones. A class has a ring of D + 1
-segments, D being the most words in which two sets up to its largest size differ at the similarity ``SURE``; each word belongs to one segment by its hash.
+segments, D being the most words in which two sets up to its largest size differ at the similarity ``SURE``; each word belongs to one segment: a frequent one
+to that to which it was dealt, so that few sets agree by chance on any segment, others by their hash.
 
 Pigeonring: of D differences on D + 1 segments there is a segment from which, for every l, the first l segments hold at most
 l - 1 of them. That segment is equal in both sets, so its words are the key under which they meet. Sets that differ more, down to the threshold, have in
@@ -24,6 +25,9 @@ from oakloom.llm.words import list_parts, map_batches
 #: Pairs up to which runs are paired up together and not one by one; keys of a bucket; least and most bits of the sketches sent there; keys of a run that
 #: are one task's; pairs of a run for each of its rows beyond which it is one for hubs.
 PAIRS, BUCKET, SKETCH, WIDEST, LARGE, FAMILY = 1000, 2_000_000, 256, 4096, 100_000, 16
+#: Words are dealt by about so many sets of at most so many words, and by so many pairs of them in each class, if there are a quarter of these sets; of words in
+#: at least this share of the sets the most frequent.
+DEALT_BY, DEALT_SIZE, DEALT_PAIRS, DEALT_SHARE, DEALT_WORDS = 4000, 2000, 1 << 14, 0.003, 2000
 SURE = 0.8
 _LOW = np.uint64((1 << NEXT * BITS) - 1)
 #: What is sent of a ring suffix: 28 bits of its key, enough within a bucket, and those of the next segments.
@@ -52,6 +56,41 @@ def chain_budgets(threshold: float) -> list[int]:
     return [max(length - 1, int(length * more + 1e-9)) if more > 1 else length - 1 for length in range(2, NEXT + 2)]
 
 
+def dealt_words(flat: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Frequent words in order, and the segment of each in the ring of each class, -1 where its hash tells; from some of the sets.
+
+    Each goes to the segment in which it tells most pairs of sets apart that agree there in all words dealt before. Any way to deal words is right; this one makes
+    runs of equal keys short. Without it segments to which few frequent words fall are equal in many sets.
+    """
+    if len(sizes) < DEALT_BY // 4:
+        return None
+    word, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times >= DEALT_SHARE * len(sizes))
+    some = some[np.argsort(-times[some], kind="stable")[:DEALT_WORDS]]
+    rank = np.full(len(word), -1)
+    rank[some] = np.arange(len(some))
+    known = rank[place] >= 0
+    has = np.zeros((len(some), len(sizes)), bool)
+    has[rank[place[known]], np.repeat(np.arange(len(sizes)), sizes)[known]] = True
+    ends = size_classes(threshold, int(sizes.max()))
+    table = np.full((len(ends), len(some)), -1, np.int16)
+    draw = np.random.default_rng(7)
+    for kind, parts in enumerate(segments_of(ends, threshold).tolist()):
+        near = np.flatnonzero((sizes <= ends[kind]) & (sizes >= threshold**2 * ends[kind]))
+        if parts < 2 or len(near) < 50:
+            continue
+        one = draw.integers(len(near), size=DEALT_PAIRS)
+        two = (one + draw.integers(1, len(near), size=DEALT_PAIRS)) % len(near)
+        differ = np.ascontiguousarray(np.packbits(has[:, near[one]] != has[:, near[two]], axis=1)).view(np.uint64)
+        equal = np.full((parts, DEALT_PAIRS // 64), ~np.uint64(0))
+        for w in range(len(some)):
+            to = int(np.bitwise_count(equal & differ[w]).sum(axis=1).argmax())
+            table[kind, w] = to
+            equal[to] &= ~differ[w]
+    by = np.argsort(word[some])
+    return word[some][by], table[:, by]
+
+
 def sketch_widths(ends: np.ndarray) -> np.ndarray:
     """Bits of the sketches of each class, at least as many as its sets have words (but for WIDEST), as fuller sketches tell little."""
     return np.clip(1 << np.ceil(np.log2(1.05 * ends)).astype(np.int64), SKETCH, WIDEST)
@@ -95,8 +134,8 @@ def ring_keys(flat: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np
     return ring_suffixes(flat, sizes, threshold)[:3]
 
 
-def ring_suffixes(flat: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``ring_keys`` and the width of the sketches of each segment's class."""
+def ring_suffixes(flat: np.ndarray, sizes: np.ndarray, threshold: float, dealt: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``ring_keys`` and the width of the sketches of each segment's class; ``dealt``: the segments of frequent words."""
     ends = size_classes(threshold, int(sizes.max(initial=1)))
     parts = segments_of(ends, threshold)
     own = np.searchsorted(ends, sizes)
@@ -112,7 +151,16 @@ def ring_suffixes(flat: np.ndarray, sizes: np.ndarray, threshold: float) -> tupl
     many = int(each.sum())
     place = np.repeat(starts[set_of] - (np.cumsum(each) - each), each) + np.arange(many)
     spread = mixed(flat, 7)[place]
-    at = np.repeat(begin, each) + ((spread >> np.uint64(32)) * np.repeat(count, each).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    segment = ((spread >> np.uint64(32)) * np.repeat(count, each).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    if dealt is not None and len(dealt[0]):
+        frequent, table = dealt
+        word = np.searchsorted(frequent, flat)
+        word[word == len(frequent)] = 0
+        word = np.where(frequent[word] == flat, word, -1)[place]
+        known = np.flatnonzero((word >= 0) & (np.repeat(kind, each) < len(table)))
+        to = table[np.repeat(kind, each)[known], word[known]]
+        segment[known[to >= 0]] = to[to >= 0]
+    at = np.repeat(begin, each) + segment
     said = np.zeros(total, np.uint64)
     np.add.at(said, at, mixed(flat, 11)[place])
     grid = np.zeros(total * 8, np.uint8)
@@ -164,20 +212,21 @@ def run_pairs(order: np.ndarray, most: int | tuple[int, ...]) -> tuple[np.ndarra
 _BLOCK = "bucket int, width int, hot boolean, orders binary, who binary, nodes binary, sizes binary, bits binary"
 
 
-def _blocks(lists: DataFrame, hot: np.ndarray, buckets: int, threshold: float) -> DataFrame:
+def _blocks(lists: DataFrame, hot: np.ndarray, dealt: tuple[np.ndarray, np.ndarray] | None, buckets: int, threshold: float) -> DataFrame:
     """Rows of ``_BLOCK``: of each batch, the ring suffixes of a bucket and a width of sketches with a table of their nodes.
 
     ``orders`` has a byte of all of them after the other, from the highest on. A key that is ``hot`` isn't compared in a bucket: its rows are to be resolved by hubs.
     """
-    sent = lists.sparkSession.sparkContext.broadcast(hot)
+    sent = lists.sparkSession.sparkContext.broadcast((hot, dealt))
 
     def work(batch):
         out = {c: [] for c in ("bucket", "width", "hot", "orders", "who", "nodes", "sizes", "bits")}
         flat, owner = list_parts(batch, "words")
         node, n = batch.column("node").to_numpy(), np.bincount(owner, minlength=batch.num_rows)
-        who, prefix, order, width = ring_suffixes(flat, n, threshold)
+        hot, dealt = sent.value
+        who, prefix, order, width = ring_suffixes(flat, n, threshold, dealt)
         bits = {}
-        full = np.isin(prefix, sent.value)
+        full = np.isin(prefix, hot)
         place = np.where(full, mixed(node[who], 5), prefix)
         bucket = ((place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         group = (bucket * 2 + full) * 2 * WIDEST + width
@@ -214,12 +263,12 @@ def _orders(sent: bytes) -> np.ndarray:
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
 
-def ring_candidates(lists: DataFrame, hot: np.ndarray, keys: int, threshold: float) -> DataFrame:
+def ring_candidates(lists: DataFrame, hot: np.ndarray, keys: int, threshold: float, dealt: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(a, b, key): pairs of nodes that meet under a key and whose chains keep to their budgets, key null; and, b null, the nodes of keys that are to be resolved by hubs.
 
     These are the ``hot`` ones and those of more than ``FAMILY`` such pairs for each row.
 
-    lists: (node, words), the distinct words of each node; ``keys``: about how many keys they have together.
+    lists: (node, words), the distinct words of each node; ``keys``: about how many keys they have together; ``dealt``: the segments of frequent words.
     """
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(-(-parts // 2), -(-keys // BUCKET))
@@ -308,4 +357,4 @@ def ring_candidates(lists: DataFrame, hot: np.ndarray, keys: int, threshold: flo
                 held.append(row)
         yield from flush()
 
-    return _blocks(lists, hot, buckets, threshold).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "width").mapInArrow(scan, "a bigint, b bigint, key bigint")
+    return _blocks(lists, hot, dealt, buckets, threshold).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "width").mapInArrow(scan, "a bigint, b bigint, key bigint")
